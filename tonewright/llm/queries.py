@@ -5,9 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonewright.llm import percentiles as radix
+from tonewright.llm.leakage import leaked_passages
 from tonewright.llm.runs import runs
 from tonewright.llm.visible import consistent, look_classes, look_pairs
-from tonewright.plans.tables import SQL_RECORDING, detections, table
+from tonewright.plans.tables import SQL_CODE, SQL_RECORDING, detections, table
+
+PERCENTS = [1, 5, 25, 50, 75, 95, 99]
+
+
+def _usable_confidence():
+    c = F.col("confidence")
+    return ~F.isnan(c) & c.between(0, 1)
+
+
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles of confidence for every species, and for every species and day."""
+    p = radix.percentiles(detections(spark, sf_dir), F.col("code"), F.col("recorded_on"), F.col("confidence"), PERCENTS, _usable_confidence())
+    return p.select("scope", F.col("group").alias("species"), F.col("part").alias("recorded_on"), "percent", "n_values", "value")
+
+
+def p2_merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of every species from the merged histograms of single days, within 1/512."""
+    days = radix.histogram(detections(spark, sf_dir), F.col("code"), F.col("recorded_on"), F.col("confidence"), _usable_confidence())
+    return radix.estimate(radix.merge(days), ["group"], PERCENTS).withColumnRenamed("group", "species")
 
 
 def p4_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +46,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("first_id").alias("first_det_id"), F.col("events").alias("detections_merged"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that carry a passage of a test item."""
+    hits = leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return hits.select(F.col("id").alias("doc_id"), F.col("item_id").alias("eval_id"))
+
+
+def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test items that leaked, with their number of documents."""
+    items = table(spark, sf_dir, "eval_items").select("eval_id", "suite", "lang")
+    return p7_found(spark, sf_dir).groupBy("eval_id").agg(F.count(F.lit(1)).alias("documents")).join(items, "eval_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents that look the same but aren't the same string."""
     return look_pairs(table(spark, sf_dir, "documents")).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
@@ -41,7 +74,7 @@ def p8_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_runs, p4_found, p8_found, p8_classes, p8_consistent)}
+    return {f.__name__: f for f in (p2_percentiles, p2_merged_days, p4_runs, p4_found, p7_found, p7_leaked_items, p8_found, p8_classes, p8_consistent)}
 
 
 _RUNS = f"""WITH r AS (SELECT {SQL_RECORDING} AS rec, det_id, lower(trim(species)) AS sp, confidence AS v, time_start AS t,
@@ -54,7 +87,14 @@ g AS (SELECT rec, run, arg_min(det_id, (t, det_id)) AS first_det_id, arg_min(sp,
 
 
 def oracle_sql() -> dict[str, str]:
+    percents = ", ".join(f"({p})" for p in PERCENTS)
     return {
+        "p2_percentiles": f"""WITH d AS (SELECT {SQL_CODE} AS species, recorded_on, confidence AS v FROM detections WHERE confidence BETWEEN 0 AND 1),
+s AS (SELECT 'all' AS scope, species, NULL::DATE AS recorded_on, v FROM d UNION ALL SELECT 'part', species, recorded_on, v FROM d),
+u AS (SELECT *, row_number() OVER (PARTITION BY scope, species, recorded_on ORDER BY v) AS r, count(*) OVER (PARTITION BY scope, species, recorded_on) AS n
+  FROM s WHERE species IS NOT NULL)
+SELECT scope, species, recorded_on, q.percent::INTEGER AS percent, n AS n_values, v AS value
+FROM u, (VALUES {percents}) AS q(percent) WHERE r = greatest(1, (q.percent * n + 99) // 100)""",
         "p4_runs": f"""{_RUNS}
 SELECT first_det_id, rec AS recording, species, time_start, time_end, time_end - time_start AS duration, detections_merged FROM g""",
         "p4_found": f"{_RUNS}\nSELECT first_det_id, detections_merged FROM g WHERE detections_merged >= 2",

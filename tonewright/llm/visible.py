@@ -93,8 +93,9 @@ class Transducer:
         self._unit = re.compile(
             f"[{pic}][{tone}]?️?{ZWJ}(?=[{pic}])|[^{mark}{hidden}]?[{mark}{hidden}]+|\r\n?|[^\x00-\x7f]|[\t\x0b\x0c]"
         )
-        self._marked = re.compile(f"[{mark}]")
-        self._run = re.compile("[^\x00-\x7f]+")
+        # what differs from plain ASCII, with the character that its first mark may belong to
+        self._run = re.compile("[\x00-\x7f]?[^\x00-\x7f]+")
+        self._line = re.compile("\r\n?|[\t\x0b\x0c]")
         self._memo: dict[str, str] = {}
         self._runs: dict[str, str] = {}
 
@@ -131,7 +132,7 @@ class Transducer:
         return form
 
     def _other(self, match: re.Match) -> str:
-        """The form of a run of other than ASCII characters."""
+        """The form of a run of other than ASCII characters and the one before it."""
         run = match.group()
         form = self._runs.get(run)
         if form is None:
@@ -143,14 +144,10 @@ class Transducer:
         return form
 
     def __call__(self, text: str) -> str:
-        if text.isascii():
-            if "\r" in text or "\t" in text or "\x0b" in text or "\x0c" in text:
-                return self._unit.sub(self._form, text)
-            return text
-        # without marks every unit but a line end lies in one run, and ASCII is copied as it is
-        if "\r" in text or "\t" in text or "\x0b" in text or "\x0c" in text or self._marked.search(text):
-            return self._unit.sub(self._form, text)
-        return self._run.sub(self._other, text)
+        if "\r" in text or "\t" in text or "\x0b" in text or "\x0c" in text:
+            text = self._line.sub(self._form, text)
+        # ASCII is copied as it is; every other unit lies in one run
+        return text if text.isascii() else self._run.sub(self._other, text)
 
 
 _READY: list[Transducer] = []
