@@ -25,6 +25,8 @@ def tidy(df: pd.DataFrame) -> list:
     def cell(v):
         if v is None or v is pd.NA or v is pd.NaT:
             return "~"
+        if isinstance(v, pd.Timestamp) and v == v.normalize():
+            return str(v)[:10]
         if isinstance(v, float):
             return "~" if v != v else f"{v:.9g}"
         if hasattr(v, "item") and not hasattr(v, "__len__"):
