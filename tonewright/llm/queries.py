@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonewright.llm import percentiles as radix
 from tonewright.llm.leakage import leaked_passages
+from tonewright.llm.packing import pack
 from tonewright.llm.runs import runs
 from tonewright.llm.visible import consistent, look_classes, look_pairs
 from tonewright.plans.tables import SQL_CODE, SQL_RECORDING, detections, table
@@ -46,6 +47,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("first_id").alias("first_det_id"), F.col("events").alias("detections_merged"))
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of 2,048 tokens of every document or piece."""
+    return pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of containers, of tokens and the share of used space."""
+    return p6_containers(spark, sf_dir).agg(
+        (F.max("container_id") + 1).alias("containers"), F.sum("length").alias("tokens"), (F.sum("length") / ((F.max("container_id") + 1) * 2048)).alias("used")
+    )
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that carry a passage of a test item."""
     hits = leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -74,7 +87,7 @@ def p8_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_percentiles, p2_merged_days, p4_runs, p4_found, p7_found, p7_leaked_items, p8_found, p8_classes, p8_consistent)}
+    return {f.__name__: f for f in (p2_percentiles, p2_merged_days, p4_runs, p4_found, p6_containers, p6_fill, p7_found, p7_leaked_items, p8_found, p8_classes, p8_consistent)}
 
 
 _RUNS = f"""WITH r AS (SELECT {SQL_RECORDING} AS rec, det_id, lower(trim(species)) AS sp, confidence AS v, time_start AS t,
