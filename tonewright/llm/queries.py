@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonewright.llm import percentiles as radix
+from tonewright.llm.entities import match
 from tonewright.llm.leakage import leaked_passages
 from tonewright.llm.packing import pack
 from tonewright.llm.runs import runs
@@ -20,6 +21,16 @@ def _usable_confidence():
     return ~F.isnan(c) & c.between(0, 1)
 
 
+def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a detection and a label of the same vocalisation, with confidence."""
+    return match(table(spark, sf_dir, "detections"), table(spark, sf_dir, "labels"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs, ids only."""
+    return p1_matches(spark, sf_dir).select("det_id", "label_id")
+
+
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact percentiles of confidence for every species, and for every species and day."""
     p = radix.percentiles(detections(spark, sf_dir), F.col("code"), F.col("recorded_on"), F.col("confidence"), PERCENTS, _usable_confidence())
@@ -87,7 +98,7 @@ def p8_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_percentiles, p2_merged_days, p4_runs, p4_found, p6_containers, p6_fill, p7_found, p7_leaked_items, p8_found, p8_classes, p8_consistent)}
+    return {f.__name__: f for f in (p1_matches, p1_found, p2_percentiles, p2_merged_days, p4_runs, p4_found, p6_containers, p6_fill, p7_found, p7_leaked_items, p8_found, p8_classes, p8_consistent)}
 
 
 _RUNS = f"""WITH r AS (SELECT {SQL_RECORDING} AS rec, det_id, lower(trim(species)) AS sp, confidence AS v, time_start AS t,
