@@ -16,26 +16,34 @@ from pyspark.sql import functions as F
 from tonewright.functions.naming import finite
 
 
-def _pieces(df: DataFrame, keys: list[str], start: Column, end: Column, gap: float, shard_seconds: float) -> DataFrame:
-    """Locally merged pieces with what earlier shards cover: keys, _s, _e, _before, _cover, _owner."""
-    if not gap >= 0 or not shard_seconds > 0:
-        raise ValueError("gap must be 0 or more and shard_seconds above 0")
-    rows = (
+def valid_rows(df: DataFrame, keys: list[str], start: Column, end: Column) -> DataFrame:
+    """keys, _s, _e of the intervals that count."""
+    return (
         df.select(*keys, finite(start).alias("_s"), finite(end).alias("_e"))
         .where(F.col("_s").isNotNull() & (F.col("_e") >= F.col("_s")))
         .dropna(subset=keys)
-        .withColumn("_shard", F.floor(F.col("_s") / F.lit(float(shard_seconds))))
     )
+
+
+def pieces(rows: DataFrame, keys: list[str], gap: float, shard_seconds: float = 600.0, order: tuple[str, ...] = ("_e",), carry: tuple[Column, ...] = ()) -> DataFrame:
+    """Locally merged pieces with what earlier shards cover: keys, _s, _e, _before, _cover, _owner, _opens.
+
+    ``rows`` has the keys, ``_s`` and ``_e`` and is taken in order of ``_s``, then ``order``.
+    ``carry`` are named aggregates of a piece's rows, to be merged by the caller.
+    """
+    if not shard_seconds > 0:
+        raise ValueError("shard_seconds must be above 0")
+    rows = rows.withColumn("_shard", F.floor(F.col("_s") / F.lit(float(shard_seconds))))
     shard = [*keys, "_shard"]
-    order = Window.partitionBy(*shard).orderBy("_s", "_e")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(*shard).orderBy("_s", *order)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
     marked = rows.withColumn("_end_before", F.max("_e").over(before)).withColumn(
-        "_n", F.sum(F.when(F.col("_s") - F.col("_end_before") <= F.lit(float(gap)), 0).otherwise(1)).over(order)
+        "_n", F.sum(F.when(F.col("_s") - F.col("_end_before") <= F.lit(float(gap)), 0).otherwise(1)).over(along)
     )
     # the same partitioning: no further exchange
     local = (
         marked.groupBy(*shard, "_n")
-        .agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
+        .agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), *carry)
         .withColumn("_before", F.lag("_e").over(Window.partitionBy(*shard).orderBy("_n")))
     )
     ends = local.groupBy(*shard).agg(F.max("_e").alias("_reach"), F.max("_s").alias("_last"))
@@ -51,6 +59,11 @@ def _pieces(df: DataFrame, keys: list[str], start: Column, end: Column, gap: flo
     )
 
 
+def opened() -> Column:
+    """The start of the period that a piece belongs to."""
+    return F.when(F.col("_opens"), F.col("_s")).otherwise(F.col("_owner"))
+
+
 def periods(df: DataFrame, keys: list[str], start: str = "time_start", end: str = "time_end", gap: float = 0.1, shard_seconds: float = 600.0) -> DataFrame:
     """Continuous periods per entity: ``keys, start, end``.
 
@@ -59,12 +72,10 @@ def periods(df: DataFrame, keys: list[str], start: str = "time_start", end: str
     before the start don't count; an empty input gives no rows; repeated rows and ties change
     nothing. Of ``df`` only the named columns are read, so further columns can't clash.
     """
-    p = _pieces(df, keys, F.col(start), F.col(end), gap, shard_seconds)
-    return (
-        p.withColumn("_period", F.when(F.col("_opens"), F.col("_s")).otherwise(F.col("_owner")))
-        .groupBy(*keys, F.col("_period").alias("start"))
-        .agg(F.max("_e").alias("end"))
-    )
+    if not gap >= 0:
+        raise ValueError("gap must be 0 or more")
+    p = pieces(valid_rows(df, keys, F.col(start), F.col(end)), keys, gap, shard_seconds)
+    return p.groupBy(*keys, opened().alias("start")).agg(F.max("_e").alias("end"))
 
 
 def periods_and_gaps(
@@ -82,14 +93,16 @@ def periods_and_gaps(
     came before has ended; with ``longest_gap`` only gaps of at most that length are listed.
     Other inputs are treated as in :func:`periods`.
     """
-    p = _pieces(df, keys, F.col(start), F.col(end), gap, shard_seconds)
+    if not gap >= 0:
+        raise ValueError("gap must be 0 or more")
+    p = pieces(valid_rows(df, keys, F.col(start), F.col(end)), keys, gap, shard_seconds)
     covered = F.greatest(F.col("_cover"), F.col("_before"))
     wanted = F.col("_opens") & covered.isNotNull()
     if longest_gap is not None:
         wanted = wanted & (F.col("_s") - covered <= F.lit(float(longest_gap)))
     piece = F.struct(
         F.lit("period").alias("kind"),
-        F.when(F.col("_opens"), F.col("_s")).otherwise(F.col("_owner")).alias("start"),
+        opened().alias("start"),
         F.col("_e").alias("end"),
     )
     silence = F.struct(F.lit("gap").alias("kind"), F.col("_s").alias("start"), covered.alias("end"))
