@@ -39,18 +39,19 @@ def recording_key(name: Column) -> Column:
     ``STA_YYMMDD_HHMM`` and ``STA DD.MM.YYYY HHMM``, in any case, below folders, with an
     extension or a further ``_word``. Other names give their stem in lower case.
     """
-    s = F.regexp_replace(F.lower(F.trim(name)), r"\\", "/")
-    s = F.regexp_replace(s, r"\.[a-z][a-z0-9]{1,4}$", "")
-    last = F.regexp_extract(s, r"([^/]*)$", 1)
-    dated = r"(\d{4})-(\d\d)-(\d\d)/([a-z]+\d*)[_ -](\d{4})(?:\d\d)?(?:_[a-z]+)?$"
-    dotted = r"^([a-z]+\d*)[_ -](\d\d)\.(\d\d)\.\d\d(\d\d)[_ -](\d{4})(?:\d\d)?(?:_[a-z]+)?$"
-    plain = r"^([a-z]+\d*)[_ -](?:\d\d)?(\d{6})[_ -](\d{4})(?:\d\d)?(?:_[a-z]+)?$"
-    g = F.regexp_extract
+    s = F.lower(F.translate(F.trim(name), "\\", "/"))
+    last = F.substring_index(s, "/", -1)
+    rest = r"(?:\d\d)?(?:_[a-z]+)?(?:\.[a-z][a-z0-9]{1,4})?$"
+    plain = r"^([a-z]+\d*)[_ -](?:\d\d)?(\d{6})[_ -](\d{4})" + rest
+    dotted = r"^([a-z]+\d*)[_ -](\d\d)\.(\d\d)\.\d\d(\d\d)[_ -](\d{4})" + rest
+    dated = r"^(?:.*/)?\d\d(\d\d)-(\d\d)-(\d\d)/([a-z]+\d*)[_ -](\d{4})" + rest
+    # a pattern that doesn't match leaves the name as it is; the commonest style costs one pattern
+    one = F.regexp_replace(last, plain, "$1|$2|$3")
     key = (
-        F.when(s.rlike(dated), F.concat(g(s, dated, 4), F.lit("|"), F.substring(g(s, dated, 1), 3, 2), g(s, dated, 2), g(s, dated, 3), F.lit("|"), g(s, dated, 5)))
-        .when(last.rlike(dotted), F.concat(g(last, dotted, 1), F.lit("|"), g(last, dotted, 4), g(last, dotted, 3), g(last, dotted, 2), F.lit("|"), g(last, dotted, 5)))
-        .when(last.rlike(plain), F.concat(g(last, plain, 1), F.lit("|"), g(last, plain, 2), F.lit("|"), g(last, plain, 3)))
-        .otherwise(last)
+        F.when(one != last, one)
+        .when(s.rlike(dated), F.regexp_replace(s, dated, "$4|$1$2$3|$5"))
+        .when(last.rlike(dotted), F.regexp_replace(last, dotted, "$1|$4$3$2|$5"))
+        .otherwise(F.regexp_replace(last, r"(?<=.)\.[^.]+$", ""))
     )
     return F.when(last != "", key)
 
@@ -64,16 +65,17 @@ def _records(df: DataFrame, id_col: str, name: Column, species_base: int, specie
     t, e = finite(F.col("time_start")), finite(F.col("time_end"))
     low, high = finite(F.col("freq_low_hz")), finite(F.col("freq_high_hz"))
     word = F.lower(F.trim(F.regexp_replace(F.col("species"), r"\s+", " ")))
-    rows = df.select(
+    # a column of its own, so that it's computed once
+    rows = df.withColumn("_key", recording_key(name)).where(F.col("_key").isNotNull() & F.col("time_start").isNotNull())
+    rows = rows.select(
         F.col(id_col).cast("long").alias("id"),
-        F.xxhash64(recording_key(name)).alias("key"),
-        recording_key(name).isNotNull().alias("_named"),
+        F.xxhash64("_key").alias("key"),
         t.alias("t"),
         F.when((e >= t) & (e - t <= _LONGEST), e).alias("e"),
         F.when(low.isNull() | high.isNull(), low).otherwise(F.least(low, high)).alias("lo"),
         F.when(low.isNull() | high.isNull(), high).otherwise(F.greatest(low, high)).alias("hi"),
         F.when(word != "", F.pmod(F.xxhash64(word), F.lit(species_size - 1)) + 1).otherwise(F.lit(0)).cast("int").alias("_s"),
-    ).where(F.col("id").isNotNull() & F.col("_named") & F.col("t").isNotNull())
+    ).where(F.col("id").isNotNull() & F.col("t").isNotNull())
     length = F.col("e") - F.col("t")
     return rows.select(
         "id", "key", "t", "e", "lo", "hi",
