@@ -46,11 +46,11 @@ def pieces(rows: DataFrame, keys: list[str], gap: float, shard_seconds: float =
         .agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), *carry)
         .withColumn("_before", F.lag("_e").over(Window.partitionBy(*shard).orderBy("_n")))
     )
-    ends = local.groupBy(*shard).agg(F.max("_e").alias("_reach"), F.max("_s").alias("_last"))
+    ends = local.groupBy(*shard).agg(F.max("_e").alias("_reach"), F.max(F.struct("_s", "_n")).alias("_last"))
     earlier = Window.partitionBy(*keys).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     stitched = (
         ends.withColumn("_cover", F.max("_reach").over(earlier))
-        .withColumn("_opened", F.when(F.col("_cover").isNull() | (F.col("_last") - F.col("_cover") > F.lit(float(gap))), F.col("_last")))
+        .withColumn("_opened", F.when(F.col("_cover").isNull() | (F.col("_last._s") - F.col("_cover") > F.lit(float(gap))), F.col("_last")))
         .withColumn("_owner", F.max("_opened").over(earlier))
         .select(*shard, "_cover", "_owner")
     )
@@ -60,8 +60,11 @@ def pieces(rows: DataFrame, keys: list[str], gap: float, shard_seconds: float =
 
 
 def opened() -> Column:
-    """The start of the period that a piece belongs to."""
-    return F.when(F.col("_opens"), F.col("_s")).otherwise(F.col("_owner"))
+    """The piece (``_s``, ``_n``) that opens the period a piece belongs to.
+
+    Its start alone doesn't name a period where intervals may end before they start.
+    """
+    return F.when(F.col("_opens"), F.struct("_s", "_n")).otherwise(F.col("_owner"))
 
 
 def periods(df: DataFrame, keys: list[str], start: str = "time_start", end: str = "time_end", gap: float = 0.1, shard_seconds: float = 600.0) -> DataFrame:
@@ -75,7 +78,7 @@ def periods(df: DataFrame, keys: list[str], start: str = "time_start", end: str
     if not gap >= 0:
         raise ValueError("gap must be 0 or more")
     p = pieces(valid_rows(df, keys, F.col(start), F.col(end)), keys, gap, shard_seconds)
-    return p.groupBy(*keys, opened().alias("start")).agg(F.max("_e").alias("end"))
+    return p.groupBy(*keys, opened()["_s"].alias("start")).agg(F.max("_e").alias("end"))
 
 
 def periods_and_gaps(
@@ -102,7 +105,7 @@ def periods_and_gaps(
         wanted = wanted & (F.col("_s") - covered <= F.lit(float(longest_gap)))
     piece = F.struct(
         F.lit("period").alias("kind"),
-        opened().alias("start"),
+        opened()["_s"].alias("start"),
         F.col("_e").alias("end"),
     )
     silence = F.struct(F.lit("gap").alias("kind"), F.col("_s").alias("start"), covered.alias("end"))

@@ -53,7 +53,7 @@ def reconstruct(df: DataFrame, gap: float = 0.1, shard_seconds: float = 600.0, m
         F.count(F.lit(1)).alias("_rows"), F.min("freq_low_hz").alias("_low"), F.max("freq_high_hz").alias("_high"),
     )
     local = pieces(rows, keys, gap, shard_seconds, ("det_id",), carry)
-    merged = local.groupBy(*keys, opened().alias("time_start")).agg(
+    merged = local.groupBy(*keys, opened().alias("_song")).agg(
         F.min("_first").alias("_first"), F.max("_e").alias("time_end"), F.sum("_sum").alias("_sum"), F.sum("_with").alias("_with"),
         F.max("_max").alias("max_confidence"), F.sum("_rows").alias("detections_merged"), F.min("_low").alias("freq_low_hz"), F.max("_high").alias("freq_high_hz"),
     )
@@ -62,7 +62,7 @@ def reconstruct(df: DataFrame, gap: float = 0.1, shard_seconds: float = 600.0, m
         F.when(F.col("_file") != SINGLE_FILE, F.col("_file")).alias("filename"),
         F.col("_first.species").alias("species"),
         F.when(F.col("species_id") != -(2**31), F.col("species_id")).alias("species_id"),
-        "time_start", "time_end",
+        F.col("_song._s").alias("time_start"), "time_end",
         F.try_divide("_sum", "_with").alias("avg_confidence"),
         "max_confidence", "detections_merged", "freq_low_hz", "freq_high_hz",
     )

@@ -193,7 +193,7 @@ def nms(spark, d):
 _IOU2 = """(SELECT *, w * h / nullif((se - ss) * (sh - sl) + (le - ls) * (lh - ll) - w * h, 0) AS iou FROM (
   SELECT s.stem, s.species AS s_species, l.species AS l_species, s.filename, s.species_id, s.time_start AS ss, s.time_end AS se, s.freq_low_hz AS sl, s.freq_high_hz AS sh, l.label_id,
     l.time_start AS ls, l.time_end AS le, l.freq_low_hz AS ll, l.freq_high_hz AS lh,
-    least(s.time_end, l.time_end) - greatest(s.time_start, l.time_start) AS w, least(s.freq_high_hz, l.freq_high_hz) - greatest(s.freq_low_hz, l.freq_low_hz) AS h
+    least(s.time_end, l.time_end) - greatest(s.time_start, l.time_start) AS w, greatest(0, least(s.freq_high_hz, l.freq_high_hz) - greatest(s.freq_low_hz, l.freq_low_hz)) AS h
   FROM song s JOIN lab l ON s.stem = l.stem AND s.time_start < l.time_end AND l.time_start < s.time_end AND s.freq_low_hz < l.freq_high_hz AND l.freq_low_hz < s.freq_high_hz))"""
 _EDGES = f"{_WITH_SONGS}, {_LAB}, e AS (SELECT * FROM {_IOU2} WHERE iou >= {IOU}::DOUBLE AND iou > 0)"
 _SONG_KEY = ("filename", "species_id", "time_start")
@@ -295,7 +295,8 @@ _STAR = f"""WITH {_DET}, {_LAB}, {_fan(COARSE)}, {_sql_songs('fan', 'threshold,
 song AS (SELECT *, nullif(sp, '~') AS species, {_STEM.format('filename')} AS stem FROM songs),
 e AS (SELECT DISTINCT s.threshold, s.species, s.stem, s.filename, s.species_id, s.time_start FROM song s JOIN lab l
   ON s.stem = l.stem AND s.species = l.species AND s.time_start < l.time_end AND l.time_start < s.time_end AND s.freq_low_hz < l.freq_high_hz AND l.freq_low_hz < s.freq_high_hz
-  WHERE (least(s.time_end, l.time_end) - greatest(s.time_start, l.time_start)) * (least(s.freq_high_hz, l.freq_high_hz) - greatest(s.freq_low_hz, l.freq_low_hz)) >=
+  WHERE least(s.freq_high_hz, l.freq_high_hz) > greatest(s.freq_low_hz, l.freq_low_hz)
+    AND (least(s.time_end, l.time_end) - greatest(s.time_start, l.time_start)) * (least(s.freq_high_hz, l.freq_high_hz) - greatest(s.freq_low_hz, l.freq_low_hz)) >=
     0.5::DOUBLE * ((s.time_end - s.time_start) * (s.freq_high_hz - s.freq_low_hz) + (l.time_end - l.time_start) * (l.freq_high_hz - l.freq_low_hz)
     - (least(s.time_end, l.time_end) - greatest(s.time_start, l.time_start)) * (least(s.freq_high_hz, l.freq_high_hz) - greatest(s.freq_low_hz, l.freq_low_hz)))),
 tp AS (SELECT threshold, species, count(*) AS tp FROM e GROUP BY ALL),
