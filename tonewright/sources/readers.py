@@ -11,17 +11,17 @@ from tonewright.functions.naming import basename, blank_to_null
 from tonewright.schema import AUDIO_EXTENSIONS, CSV_COLUMNS, DOCUMENT
 
 
-def read_document(spark: SparkSession, path: str) -> DataFrame:
-    """The documents themselves, one row each."""
-    return spark.read.schema(DOCUMENT).option("multiLine", True).json(path)
+def read_document(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The documents themselves, one row each: one per file, or one per line as our writer puts them."""
+    return spark.read.schema(DOCUMENT).option("multiLine", not lines).json(path)
 
 
-def read_detections(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of detections documents with file names filled in and ``det_id`` in reading order."""
-    docs = read_document(spark, path).select("audio_file", F.input_file_name().alias("_doc"), F.posexplode("detections").alias("_i", "_d"))
+def read_detections(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Rows of detections documents with file names filled in and a ``det_id`` by document and place."""
+    docs = read_document(spark, path, lines).select("audio_file", F.input_file_name().alias("_doc"), F.posexplode("detections").alias("_i", "_d"))
     rows = docs.select("audio_file", "_doc", "_i", "_d.*")
     name = F.coalesce(blank_to_null(F.col("filename")), blank_to_null(basename(F.col("audio_file"))), blank_to_null(basename(F.col("file_path"))), F.lit("unknown"))
-    return rows.withColumn("filename", name).withColumn("det_id", F.pmod(F.xxhash64("_doc"), F.lit(2**22)) * F.lit(2**40) + F.col("_i")).drop("audio_file", "_doc", "_i")
+    return rows.withColumn("filename", name).withColumn("det_id", F.pmod(F.xxhash64("_doc", "audio_file"), F.lit(2**22)) * F.lit(2**40) + F.col("_i")).drop("audio_file", "_doc", "_i")
 
 
 def read_csv(spark: SparkSession, path: str, id_col: str = "label_id") -> DataFrame:
