@@ -27,7 +27,7 @@ from tonewright.llm.graphvec import skip_gram, walks
 from tonewright.session import cut
 
 _DET, _NAME, _LOW, _HIGH, _LENGTH, _SIZE = 0, 512, 2560, 2592, 2624, 2648
-_PLACE_DIM, _PLACE_S, _TOKEN_WEIGHT = 16, 64.0, 0.12
+_PLACE_DIM, _PLACE_S, _TOKEN_WEIGHT = 16, 64.0, 0.04
 _REACH = 3.5  # seconds between a candidate's start and a label's span; clocks are off by less
 _LONGEST = 3600.0
 
@@ -45,10 +45,14 @@ def recording_key(name: Column) -> Column:
     plain = r"^([a-z]+\d*)[_ -](?:\d\d)?(\d{6})[_ -](\d{4})" + rest
     dotted = r"^([a-z]+\d*)[_ -](\d\d)\.(\d\d)\.\d\d(\d\d)[_ -](\d{4})" + rest
     dated = r"^(?:.*/)?\d\d(\d\d)-(\d\d)-(\d\d)/([a-z]+\d*)[_ -](\d{4})" + rest
-    # a pattern that doesn't match leaves the name as it is; the commonest style costs one pattern
-    one = F.regexp_replace(last, plain, "$1|$2|$3")
+    # the commonest style by its places alone, which costs no pattern
+    at = F.instr(last, "_")
+    day, clock = F.substring(last, at + 1, F.lit(8)), F.substring(last, at + 10, F.lit(6))
+    usual = (at > 1) & (F.substring(last, at + 9, F.lit(1)) == "_") & (F.length(last) >= at + 15) & F.substring(last, at + 16, F.lit(1)).isin(".", "")
+    usual = usual & (F.translate(F.concat(day, clock), "0123456789", "") == "")
     key = (
-        F.when(one != last, one)
+        F.when(usual, F.concat(F.substring_index(last, "_", 1), F.lit("|"), F.substring(day, 3, 6), F.lit("|"), F.substring(clock, 1, 4)))
+        .when(last.rlike(plain), F.regexp_replace(last, plain, "$1|$2|$3"))
         .when(s.rlike(dated), F.regexp_replace(s, dated, "$4|$1$2$3|$5"))
         .when(last.rlike(dotted), F.regexp_replace(last, dotted, "$1|$4$3$2|$5"))
         .otherwise(F.regexp_replace(last, r"(?<=.)\.[^.]+$", ""))
@@ -60,26 +64,31 @@ def _bucket(hz: Column, base: int) -> Column:
     return F.when(hz > 0, F.least(F.lit(31), F.greatest(F.lit(0), F.floor(F.log(hz / 60) * 5))).cast("int") + base).otherwise(F.lit(-1))
 
 
-def _records(df: DataFrame, id_col: str, name: Column, species_base: int, species_size: int) -> DataFrame:
-    """``id, key, t, e, lo, hi`` and the tokens ``sp, kl, kh, kd`` (-1: none)."""
+def _keyed(df: DataFrame, id_col: str, name: Column) -> DataFrame:
+    """``id, key, t, e, lo, hi, species`` of the rows that count."""
     t, e = finite(F.col("time_start")), finite(F.col("time_end"))
     low, high = finite(F.col("freq_low_hz")), finite(F.col("freq_high_hz"))
-    word = F.lower(F.trim(F.regexp_replace(F.col("species"), r"\s+", " ")))
-    # a column of its own, so that it's computed once
-    rows = df.withColumn("_key", recording_key(name)).where(F.col("_key").isNotNull() & F.col("time_start").isNotNull())
-    rows = rows.select(
+    # the key is a column of its own, so that it's computed once
+    rows = df.withColumn("_key", recording_key(name)).where(F.col("_key").isNotNull() & F.col(id_col).isNotNull())
+    return rows.select(
         F.col(id_col).cast("long").alias("id"),
         F.xxhash64("_key").alias("key"),
         t.alias("t"),
         F.when((e >= t) & (e - t <= _LONGEST), e).alias("e"),
         F.when(low.isNull() | high.isNull(), low).otherwise(F.least(low, high)).alias("lo"),
         F.when(low.isNull() | high.isNull(), high).otherwise(F.greatest(low, high)).alias("hi"),
-        F.when(word != "", F.pmod(F.xxhash64(word), F.lit(species_size - 1)) + 1).otherwise(F.lit(0)).cast("int").alias("_s"),
-    ).where(F.col("id").isNotNull() & F.col("t").isNotNull())
+        "species",
+    ).where(F.col("t").isNotNull())
+
+
+def _with_tokens(rows: DataFrame, species_base: int, species_size: int) -> DataFrame:
+    """The tokens ``sp, kl, kh, kd`` (-1: none) in place of the species."""
+    word = F.lower(F.trim(F.regexp_replace(F.col("species"), r"\s+", " ")))
+    number = F.when(word != "", F.pmod(F.xxhash64(word), F.lit(species_size - 1)) + 1).otherwise(F.lit(0)).cast("int")
     length = F.col("e") - F.col("t")
     return rows.select(
         "id", "key", "t", "e", "lo", "hi",
-        (F.col("_s") + species_base).alias("sp"),
+        (number + species_base).alias("sp"),
         _bucket(F.col("lo"), _LOW).alias("kl"),
         _bucket(F.col("hi"), _HIGH).alias("kh"),
         F.when(length.isNotNull(), F.least(F.lit(23), F.greatest(F.lit(0), F.floor(F.log2(length + 0.01) * 2) + 10)).cast("int") + _LENGTH).otherwise(F.lit(-1)).alias("kd"),
@@ -226,14 +235,14 @@ def match(
     tables give no rows.
     """
     name = F.coalesce(*[F.when(F.trim(F.col(c)) != "", F.col(c)) for c in ("filename", "file_path")])
-    lab = _records(labels, "label_id", F.col("filename"), _NAME, 2048)
-    det = _records(detections, "det_id", name, _DET, 512)
+    lab = cut(_with_tokens(_keyed(labels, "label_id", F.col("filename")), _NAME, 2048))
+    det = _keyed(detections, "det_id", name)
     # detections within a place token of a label; the others reach no label
     slab = lambda c: F.floor(c / _PLACE_S)
     spans = F.sequence(slab(F.col("t") - _REACH), slab(F.coalesce(F.col("e"), F.col("t")) + _REACH))
-    lab = cut(lab)
     places = lab.select("key", F.explode(spans).alias("slab")).select(F.xxhash64("key", "slab").alias("place")).distinct()
-    det = cut(det.withColumn("place", F.xxhash64("key", slab(F.col("t")))).join(places, "place", "left_semi").drop("place"))
+    near = det.withColumn("place", F.xxhash64("key", slab(F.col("t")))).join(places, "place", "left_semi").drop("place")
+    det = cut(_with_tokens(near, _DET, 512))
     vectors = train(det, lab)
 
     pairs = _candidates(det, lab, vectors, tables, bits, step, seed)
