@@ -17,10 +17,13 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from tonewright.functions.naming import finite
 from tonewright.llm.graphvec import skip_gram, walks
@@ -32,53 +35,64 @@ _REACH = 3.5  # seconds between a candidate's start and a label's span; clocks a
 _LONGEST = 3600.0
 
 
-def recording_key(name: Column) -> Column:
+_STYLES = tuple(
+    (re.compile(head + r"(?:\d\d)?(?:_[a-z]+)?(?:\.[a-z][a-z0-9]{1,4})?$"), order)
+    for head, order in (
+        (r"(?:.*/)?\d\d(\d\d)-(\d\d)-(\d\d)/([a-z]+\d*)[_ -](\d{4})", (4, 1, 2, 3, 5)),
+        (r"(?:.*/)?([a-z]+\d*)[_ -](?:\d\d)?(\d\d)(\d\d)(\d\d)[_ -](\d{4})", (1, 2, 3, 4, 5)),
+        (r"(?:.*/)?([a-z]+\d*)[_ -](\d\d)\.(\d\d)\.\d\d(\d\d)[_ -](\d{4})", (1, 4, 3, 2, 5)),
+    )
+)
+
+
+def key_of_name(name: str | None) -> str | None:
     """One key for the ways in which recordings are named: station, date, hour and minute.
 
     Understood are ``STA_YYYYMMDD_HHMMSS`` with ``_``, ``-`` or blanks, ``YYYY-MM-DD/STA_HHMMSS``,
     ``STA_YYMMDD_HHMM`` and ``STA DD.MM.YYYY HHMM``, in any case, below folders, with an
-    extension or a further ``_word``. Other names give their stem in lower case.
+    extension or a further ``_word``. Other names give their stem in lower case, blank ones
+    and those that end in a slash None.
     """
-    s = F.lower(F.translate(F.trim(name), "\\", "/"))
-    last = F.substring_index(s, "/", -1)
-    rest = r"(?:\d\d)?(?:_[a-z]+)?(?:\.[a-z][a-z0-9]{1,4})?$"
-    plain = r"^([a-z]+\d*)[_ -](?:\d\d)?(\d{6})[_ -](\d{4})" + rest
-    dotted = r"^([a-z]+\d*)[_ -](\d\d)\.(\d\d)\.\d\d(\d\d)[_ -](\d{4})" + rest
-    dated = r"^(?:.*/)?\d\d(\d\d)-(\d\d)-(\d\d)/([a-z]+\d*)[_ -](\d{4})" + rest
-    # the commonest style by its places alone, which costs no pattern
-    at = F.instr(last, "_")
-    day, clock = F.substring(last, at + 1, F.lit(8)), F.substring(last, at + 10, F.lit(6))
-    usual = (at > 1) & (F.substring(last, at + 9, F.lit(1)) == "_") & (F.length(last) >= at + 15) & F.substring(last, at + 16, F.lit(1)).isin(".", "")
-    usual = usual & (F.translate(F.concat(day, clock), "0123456789", "") == "")
-    key = (
-        F.when(usual, F.concat(F.substring_index(last, "_", 1), F.lit("|"), F.substring(day, 3, 6), F.lit("|"), F.substring(clock, 1, 4)))
-        .when(last.rlike(plain), F.regexp_replace(last, plain, "$1|$2|$3"))
-        .when(s.rlike(dated), F.regexp_replace(s, dated, "$4|$1$2$3|$5"))
-        .when(last.rlike(dotted), F.regexp_replace(last, dotted, "$1|$4$3$2|$5"))
-        .otherwise(F.regexp_replace(last, r"(?<=.)\.[^.]+$", ""))
-    )
-    return F.when(last != "", key)
+    s = (name or "").strip().lower().replace("\\", "/")
+    for style, order in _STYLES:
+        if m := style.match(s):
+            sta, year, month, day, clock = (m[k] for k in order)
+            return f"{sta}|{year}{month}{day}|{clock}"
+    last = s.rpartition("/")[2]
+    return (re.sub(r"(?<=.)\.[^.]+$", "", last)) or None
+
+
+def _hash_names(first: pd.Series, second: pd.Series) -> pd.Series:
+    """Hash of the key of the first name that isn't blank. A name is parsed once per batch, not per row."""
+    names = first.where(first.str.strip().fillna("") != "", second)
+    codes, unique = pd.factorize(names)
+    hashes = [xxh3_64_intdigest(k) - 2**63 if (k := key_of_name(n)) is not None else None for n in unique]
+    return pd.Series(hashes, dtype="Int64").reindex(codes).reset_index(drop=True)  # a missing name has code -1
+
+
+def _key_hash(first: str, second: str) -> Column:
+    # not deterministic: a filter on the key must not have it computed a second time
+    return F.pandas_udf(_hash_names, "bigint").asNondeterministic()(F.col(first), F.col(second))
 
 
 def _bucket(hz: Column, base: int) -> Column:
     return F.when(hz > 0, F.least(F.lit(31), F.greatest(F.lit(0), F.floor(F.log(hz / 60) * 5))).cast("int") + base).otherwise(F.lit(-1))
 
 
-def _keyed(df: DataFrame, id_col: str, name: Column) -> DataFrame:
+def _keyed(df: DataFrame, id_col: str, *names: str) -> DataFrame:
     """``id, key, t, e, lo, hi, species`` of the rows that count."""
     t, e = finite(F.col("time_start")), finite(F.col("time_end"))
     low, high = finite(F.col("freq_low_hz")), finite(F.col("freq_high_hz"))
-    # the key is a column of its own, so that it's computed once
-    rows = df.withColumn("_key", recording_key(name)).where(F.col("_key").isNotNull() & F.col(id_col).isNotNull())
-    return rows.select(
+    rows = df.where(F.col(id_col).isNotNull() & t.isNotNull()).select(
         F.col(id_col).cast("long").alias("id"),
-        F.xxhash64("_key").alias("key"),
+        _key_hash(names[0], names[-1]).alias("key"),
         t.alias("t"),
         F.when((e >= t) & (e - t <= _LONGEST), e).alias("e"),
         F.when(low.isNull() | high.isNull(), low).otherwise(F.least(low, high)).alias("lo"),
         F.when(low.isNull() | high.isNull(), high).otherwise(F.greatest(low, high)).alias("hi"),
         "species",
-    ).where(F.col("t").isNotNull())
+    )
+    return rows.where(F.col("key").isNotNull())
 
 
 def _with_tokens(rows: DataFrame, species_base: int, species_size: int) -> DataFrame:
@@ -234,9 +248,8 @@ def match(
     the rest; exchanged bands are put right. Rows delivered twice match as often. Empty
     tables give no rows.
     """
-    name = F.coalesce(*[F.when(F.trim(F.col(c)) != "", F.col(c)) for c in ("filename", "file_path")])
-    lab = cut(_with_tokens(_keyed(labels, "label_id", F.col("filename")), _NAME, 2048))
-    det = _keyed(detections, "det_id", name)
+    lab = cut(_with_tokens(_keyed(labels, "label_id", "filename"), _NAME, 2048))
+    det = _keyed(detections, "det_id", "filename", "file_path")
     # detections within a place token of a label; the others reach no label
     slab = lambda c: F.floor(c / _PLACE_S)
     spans = F.sequence(slab(F.col("t") - _REACH), slab(F.coalesce(F.col("e"), F.col("t")) + _REACH))
@@ -274,13 +287,13 @@ def match(
     good = F.col("part") > 2
     length = F.round(F.col("d_len") * 64).cast("int")
     pairs = (
-        pairs.withColumn("_single", F.max("whole").over(w))
+        pairs.withColumn("_single", F.max(F.when(F.col("de").isNotNull(), F.col("whole"))).over(w))
         .withColumn("_length", F.mode(F.when(good, length)).over(w))
         .withColumn("_in", good & F.coalesce(F.abs(length - F.col("_length")) <= 2, F.col("d_len").isNull()))
         .withColumn("_from", F.min(F.when(F.col("_in"), F.col("dt"))).over(w))
         .withColumn("_to", F.max(F.when(F.col("_in"), F.col("de"))).over(w))
     )
-    spans_label = (F.col("_single") < 2) & F.col("_in") & ((F.abs(F.col("_from")) < 0.6) | (F.abs(F.col("_to")) < 0.6))
+    spans_label = (F.coalesce("_single", F.lit(-1.0)) < 2) & F.col("_in") & ((F.abs(F.col("_from")) < 0.6) | (F.abs(F.col("_to")) < 0.6))
     score = F.greatest(F.col("whole"), F.when(spans_label, F.col("part")))
     sigmoid = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), score))))
     return pairs.select(F.col("d_id").alias("det_id"), F.col("l_id").alias("label_id"), sigmoid.alias("confidence")).where(F.col("confidence") >= least)
