@@ -170,11 +170,12 @@ def _hasher(vectors: np.ndarray, tables: int, bits: int, seed: int):
 
 
 def _cosine(vectors: np.ndarray):
-    @F.pandas_udf("float")
-    def cosine(a1: pd.Series, a2: pd.Series, a3: pd.Series, b1: pd.Series, b2: pd.Series, b3: pd.Series) -> pd.Series:
+    @F.pandas_udf("cosine float, alike float")
+    def cosine(a1: pd.Series, a2: pd.Series, a3: pd.Series, b1: pd.Series, b2: pd.Series, b3: pd.Series) -> pd.DataFrame:
         a = _token_mean(vectors, *[x.to_numpy(np.int64) for x in (a1, a2, a3)])
         b = _token_mean(vectors, *[x.to_numpy(np.int64) for x in (b1, b2, b3)])
-        return pd.Series((a * b).sum(axis=1).astype(np.float32))
+        names = (vectors[a1.to_numpy(np.int64)] * vectors[b1.to_numpy(np.int64)]).sum(axis=1)
+        return pd.DataFrame({"cosine": (a * b).sum(axis=1).astype(np.float32), "alike": names.astype(np.float32)})
 
     return cosine
 
@@ -267,8 +268,8 @@ def match(
             F.col("l_t").alias("l_t"), (F.col("l_e") - F.col("l_t")).alias("l_len"), (F.col("d_e") - F.col("d_t")).alias("d_len"),
             (F.col("d_t") - F.col("l_t")).alias("dt"), (F.col("d_e") - F.col("l_e")).alias("de"),
             (F.col("d_lo") - F.col("l_lo")).alias("dl"), (F.col("d_hi") - F.col("l_hi")).alias("dh"),
-            _cosine(vectors)(*tokens).alias("cosine"),
-        )
+            _cosine(vectors)(*tokens).alias("_c"), ((F.col("d_sp") == _DET) | (F.col("l_sp") == _NAME)).alias("_unnamed"),
+        ).withColumns({"cosine": F.col("_c.cosine"), "other": ~F.col("_unnamed") & (F.col("_c.alike") < 0.5)}).drop("_c", "_unnamed")
     )
     odds = _odds(pairs)
     pairs = pairs.join(F.broadcast(odds), F.floor(F.col("cosine") * 10) == odds["cell"], "left").withColumn("odds", F.coalesce("odds", F.lit(0.0))).drop("cell")
@@ -290,10 +291,14 @@ def match(
         pairs.withColumn("_single", F.max(F.when(F.col("de").isNotNull(), F.col("whole"))).over(w))
         .withColumn("_length", F.mode(F.when(good, length)).over(w))
         .withColumn("_in", good & F.coalesce(F.abs(length - F.col("_length")) <= 2, F.col("d_len").isNull()))
+        .withColumn("_own", F.max(F.col("_in") & ~F.col("other")).over(w))
         .withColumn("_from", F.min(F.when(F.col("_in"), F.col("dt"))).over(w))
         .withColumn("_to", F.max(F.when(F.col("_in"), F.col("de"))).over(w))
     )
-    spans_label = (F.coalesce("_single", F.lit(-1.0)) < 2) & F.col("_in") & ((F.abs(F.col("_from")) < 0.6) | (F.abs(F.col("_to")) < 0.6))
+    ends = (F.abs(F.col("_from")), F.abs(F.col("_to")))
+    # a series of another species has to fill the label on its own
+    fills = F.when(F.col("other"), ~F.col("_own") & (ends[0] < 0.25) & (ends[1] < 0.35)).otherwise((ends[0] < 0.6) | (ends[1] < 0.6))
+    spans_label = (F.coalesce("_single", F.lit(-1.0)) < 2) & F.col("_in") & fills
     score = F.greatest(F.col("whole"), F.when(spans_label, F.col("part")))
     sigmoid = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), score))))
     return pairs.select(F.col("d_id").alias("det_id"), F.col("l_id").alias("label_id"), sigmoid.alias("confidence")).where(F.col("confidence") >= least)
