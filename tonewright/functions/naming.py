@@ -11,14 +11,18 @@ def blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) != "", c)
 
 
+# each name is read by one pattern that starts at the last separator with something behind it
+_FOLDERS, _END = r"(?s)^(?:.*[/\\](?=[^/\\]))?", r"[/\\]*$"
+
+
 def basename(c: Column) -> Column:
     """The part after the last slash or backslash; trailing separators don't count."""
-    return F.regexp_extract(F.regexp_replace(c, r"[/\\]+$", ""), r"([^/\\]*)$", 1)
+    return F.regexp_extract(c, _FOLDERS + r"([^/\\]*)" + _END, 1)
 
 
 def stem(c: Column) -> Column:
     """File name without directories and last extension (``.wav`` and ``x.`` keep their dot)."""
-    return F.regexp_replace(basename(c), r"(?<=.)\.[^.]+$", "")
+    return F.regexp_extract(c, _FOLDERS + r"([^/\\]*?)(?:(?<=[^/\\])\.[^./\\]+)?" + _END, 1)
 
 
 def recording(filename: Column, file_path: Column) -> Column:
