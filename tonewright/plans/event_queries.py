@@ -225,7 +225,8 @@ def iou_edges_any_class(spark, d):
     return e.join(s, "det_id").join(lb, "label_id").select("filename", "species_id", "song_start", "label_id", "species", "true_species", F.round("iou", 6).alias("iou"))
 
 
-@query(f"""{_WITH_SONGS}, {_LAB} SELECT s.stem, count(*) AS pairs FROM song s JOIN lab l ON s.stem = l.stem AND least(s.time_end, l.time_end) > greatest(s.time_start, l.time_start) GROUP BY ALL""")
+@query(f"""{_WITH_SONGS}, {_LAB} SELECT s.stem, count(*) AS pairs FROM song s JOIN lab l ON s.stem = l.stem AND s.time_start < l.time_end AND l.time_start < s.time_end
+  AND least(s.time_end, l.time_end) > greatest(s.time_start, l.time_start) GROUP BY ALL""")
 def overlap_pairs(spark, d):
     """Pairs that share time; a song that ends before it starts shares none."""
     everything = edges(_songs(spark, d), _lab(spark, d), ["stem"], 0.0, boxes=False)
