@@ -25,15 +25,21 @@ def valid_rows(df: DataFrame, keys: list[str], start: Column, end: Column) -> Da
     )
 
 
+def shard_of(shard_seconds: float) -> Column:
+    return F.floor(F.col("_s") / F.lit(float(shard_seconds)))
+
+
 def pieces(rows: DataFrame, keys: list[str], gap: float, shard_seconds: float = 600.0, order: tuple[str, ...] = ("_e",), carry: tuple[Column, ...] = ()) -> DataFrame:
     """Locally merged pieces with what earlier shards cover: keys, _s, _e, _before, _cover, _owner, _opens.
 
     ``rows`` has the keys, ``_s`` and ``_e`` and is taken in order of ``_s``, then ``order``.
+    Where ``rows`` already has ``_shard``, its partitioning by shard is used.
     ``carry`` are named aggregates of a piece's rows, to be merged by the caller.
     """
     if not shard_seconds > 0:
         raise ValueError("shard_seconds must be above 0")
-    rows = rows.withColumn("_shard", F.floor(F.col("_s") / F.lit(float(shard_seconds))))
+    if "_shard" not in rows.columns:
+        rows = rows.withColumn("_shard", shard_of(shard_seconds))
     shard = [*keys, "_shard"]
     along = Window.partitionBy(*shard).orderBy("_s", *order)
     before = along.rowsBetween(Window.unboundedPreceding, -1)

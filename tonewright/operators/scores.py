@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tonewright.functions.naming import stem
 from tonewright.operators.matching import edges, one_to_one, star_matches
-from tonewright.operators.songs import at_thresholds, backfill_filename, reconstruct
+from tonewright.operators.songs import backfill_filename, reconstruct
 
 MICRO, MACRO = "Overall_Micro", "Overall_Macro"
 
@@ -60,8 +60,7 @@ def song_id(*parts: str) -> Column:
 
 def sweep_songs(det: DataFrame, thresholds: list[float], gap: float = 0.1) -> DataFrame:
     """Songs of every threshold, merged per original species_id: ``threshold, stem`` and song columns."""
-    rows = backfill_filename(at_thresholds(det, thresholds))
-    songs = reconstruct(rows, gap, more_keys=("threshold",))
+    songs = reconstruct(backfill_filename(det), gap, thresholds=thresholds)
     return songs.withColumn("stem", F.lower(stem(F.col("filename")))).withColumn(
         "det_id", song_id("threshold", "filename", "species_id", "time_start")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonewright.functions.naming import basename, blank_to_null
-from tonewright.operators.intervals import opened, pieces
+from tonewright.operators.intervals import opened, pieces, shard_of
 
 SINGLE_FILE = "__single_file__"
 
@@ -29,24 +29,28 @@ def backfill_filename(df: DataFrame, audio_file: Column | None = None) -> DataFr
     return df.withColumn("filename", F.coalesce(*names, F.lit("unknown")))
 
 
-def reconstruct(df: DataFrame, gap: float = 0.1, shard_seconds: float = 600.0, more_keys: tuple[str, ...] = ()) -> DataFrame:
+def reconstruct(df: DataFrame, gap: float = 0.1, shard_seconds: float = 600.0, thresholds: list[float] | None = None) -> DataFrame:
     """Songs: detections of one file and species_id whose gap to the furthest end so far is at most ``gap``.
 
-    Columns are ``[more_keys,] filename, species, species_id, time_start, time_end,
+    Columns are ``[threshold,] filename, species, species_id, time_start, time_end,
     avg_confidence, max_confidence, detections_merged, freq_low_hz, freq_high_hz``. ``species`` is
-    that of the first row by time_start, then det_id. A missing file name groups its rows as
+    that of the first row by time_start, then det_id. With ``thresholds`` the rows that reach
+    each of them are merged on their own; rows are multiplied only after they were shuffled
+    to their shards. A missing file name groups its rows as
     one file and stays missing; rows without a start or end don't count. Works in time shards,
     so that a recording of any size is merged by many tasks.
     """
+    more_keys = [] if thresholds is None else ["threshold"]
     keys = [*more_keys, "_file", "species_id"]
     rows = df.select(
-        *more_keys,
         F.coalesce(blank_to_null(F.col("filename")), F.lit(SINGLE_FILE)).alias("_file"),
         F.coalesce(F.col("species_id"), F.lit(-(2**31))).alias("species_id"),
         F.col("time_start").alias("_s"),
         F.col("time_end").alias("_e"),
         "det_id", "species", "confidence", "freq_low_hz", "freq_high_hz",
     ).where(F.col("_s").isNotNull() & F.col("_e").isNotNull() & ~F.isnan("_s") & ~F.isnan("_e"))
+    if thresholds is not None:
+        rows = at_thresholds(rows.withColumn("_shard", shard_of(shard_seconds)).repartition("_file", "species_id", "_shard"), thresholds)
     first = F.min(F.struct("_s", "det_id", "species"))
     carry = (
         first.alias("_first"), F.sum("confidence").alias("_sum"), F.count("confidence").alias("_with"), F.max("confidence").alias("_max"),
