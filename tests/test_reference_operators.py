@@ -267,3 +267,14 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     got = {(r.filename, r.time_start, r.time_end, r.detections_merged) for r in spark.table("songs_out").collect()}
     batch = set(spans(songs.reconstruct(det(spark, rows), 0.1)))
     assert got <= batch and len(got) >= 3
+
+
+def test_sweep_songs_are_those_of_each_threshold(spark):
+    r = random.Random(12)
+    rows = [box(r.choice(["f", "g", None]), s := r.randrange(400) / 4, s + r.choice([0.25, 1, 3]), r.choice([None, float("nan"), *(k / 10 for k in range(11))]), r.choice([0, 1, None])) for _ in range(500)]
+    df = det(spark, rows)
+    swept = songs.reconstruct(df, 0.25, shard_seconds=10, thresholds=[0.0, 0.3, 0.8]).collect()
+    for t in (0.0, 0.3, 0.8):
+        own = songs.reconstruct(songs.confident(df, t), 0.25).collect()
+        key = lambda x: (x.filename or "", x.species_id is None, x.species_id or 0, x.time_start, x.time_end, x.detections_merged)
+        assert sorted(map(key, (x for x in swept if x.threshold == t))) == sorted(map(key, own))
