@@ -198,9 +198,12 @@ def one_to_one(e: DataFrame, keys: list[str], optimal: bool = True) -> DataFrame
 def star_matches(e: DataFrame, keys: list[str]) -> DataFrame:
     """Number of matches per key where each label meets at most one detection of the key.
 
-    True for songs of one class with IoU of at least 0.5 and gap 0 or more: songs of a class
-    are apart in time, so two of them can't both cover half of a label.
+    True for songs of one class with IoU of at least 0.5 and gap 0 or more, if they were merged
+    per class and file: they are apart in time, so two of them can't both cover half of a label.
+    Codes that disagree with ids and files that share a stem break it, so it's checked on the edges.
     """
+    if not e.groupBy(*keys, "label_id").agg(F.countDistinct("det_id").alias("_n")).where(F.col("_n") > 1).isEmpty():
+        raise ValueError("a label meets several detections of its key: solve the matching instead")
     return e.groupBy(*keys).agg(F.countDistinct("det_id").alias("tp"))
 
 

@@ -71,8 +71,7 @@ def sweep_counts(det: DataFrame, lab: DataFrame, thresholds: list[float], iou: f
 
     Files pair by stem, whichever side has them. With ``one_class`` songs are still merged per
     species_id, only the matching is blind to it. ``star`` counts songs instead of solving; that
-    is exact for an IoU of at least 0.5 and a gap of 0 or more if species and species_id name
-    the same classes and no two files share a stem, which the caller has to know.
+    is exact only if no label meets two songs of its class, else it's an error.
     """
     spark = det.sparkSession
     lab = lab.where(F.trim("species") != "")
