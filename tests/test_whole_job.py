@@ -74,3 +74,17 @@ def test_counting_songs_refuses_labels_with_several(spark):
     with pytest.raises(ValueError):
         star_matches(e, ["species"])
     assert [r.tp for r in star_matches(e.where("det_id = 1"), ["species"]).collect()] == [1]
+
+
+def test_scores_cover_every_hundredth(spark, tmp_path):
+    # the right song is sure to 0.57, false ones up to 0.56: only at 0.57 does F reach 1
+    d = tables(spark, tmp_path, [song("f.wav", 0, 2, conf=0.57), song("f.wav", 10, 12, conf=0.56), song("f.wav", 20, 22, conf=0.54)], [mark("f.wav", 0, 2)])
+    grid = [k / 100 for k in range(101)]
+    best = {r.species: (r.confidence_threshold, r.f_beta_score) for r in run(spark, d, "optimal_threshold")}
+    assert best["x"] == (0.57, 1.0)
+    for name in ("tp_fp_fn", "f_beta_rows", "plot_frame", "sweep_optimal", "sweep_single_class", "sweep_greedy"):
+        at = [r["threshold" if name == "tp_fp_fn" else "confidence_threshold"] for r in run(spark, d, name) if r.species in ("x", "bird")]
+        assert sorted(at) == grid, name
+    assert [r.best for r in run(spark, d, "top_species") + run(spark, d, "bottom_species")] == [1.0, 1.0]
+    wide = entry.queries()["f_pivot"](spark, d)
+    assert wide.columns == ["species", *(f"{t:.2f}" for t in grid)] and wide.first()["0.57"] == 1.0

@@ -15,7 +15,7 @@ from tonewright.sources import writers
 from tonewright.streaming.songs import stream_songs
 
 LEAST, GAP, IOU = 0.2, 0.1, 0.25
-COARSE = songs.threshold_grid(0.0, 1.0, 0.05)
+COARSE = songs.threshold_grid(0.0, 1.0, 0.05)  # of the comparison SQL only
 FINE = songs.threshold_grid()
 
 
@@ -321,12 +321,15 @@ UNION ALL SELECT 'Overall_Macro', threshold, NULL, NULL, NULL, avg(p), avg(r), a
 
 
 def _counts(spark, d):
-    """Counts over solved matches. The SQL counts songs with an edge instead, so it tells more tp wherever several songs of a class meet one label."""
-    return scores.sweep_counts(_det(spark, d), _lab(spark, d), COARSE, 0.5, GAP)
+    """Counts over solved matches at all 101 thresholds.
+
+    The SQL has 21 of them, and counts songs with an edge, which are more wherever several songs of a class meet one label.
+    """
+    return scores.sweep_counts(_det(spark, d), _lab(spark, d), FINE, 0.5, GAP)
 
 
 def _score_rows(spark, d):
-    return scores.score_rows(_counts(spark, d), scores.threshold_table(spark, COARSE))
+    return scores.score_rows(_counts(spark, d), scores.threshold_table(spark, FINE))
 
 
 _RATES = "round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f_beta_score"
@@ -372,7 +375,7 @@ def bottom_species(spark, d):
 @query(f"""{_ROWS} SELECT species, {', '.join(f'''max(CASE WHEN confidence_threshold = {t}::DOUBLE THEN round(f, 6) END) AS "{t:.2f}"''' for t in COARSE)}
 FROM rows_ WHERE species NOT IN ('Overall_Micro', 'Overall_Macro') GROUP BY species""")
 def f_pivot(spark, d):
-    return scores.f_pivot(_best_rows(spark, d), COARSE)
+    return scores.f_pivot(_best_rows(spark, d), FINE)
 
 
 @query(f"{_ROWS} SELECT species, confidence_threshold, coalesce(round(p, 6), 0) AS precision, coalesce(round(r, 6), 0) AS recall, coalesce(round(f, 6), 0) AS f_beta_score FROM rows_")
@@ -383,20 +386,20 @@ def plot_frame(spark, d):
 @query()
 def sweep_optimal(spark, d):
     """Score rows with solved matching at IoU 0.25, whatever the preconditions of counting."""
-    c = scores.sweep_counts(_det(spark, d), _lab(spark, d), COARSE, IOU, GAP)
-    return _short(scores.score_rows(c, scores.threshold_table(spark, COARSE)))
+    c = scores.sweep_counts(_det(spark, d), _lab(spark, d), FINE, IOU, GAP)
+    return _short(scores.score_rows(c, scores.threshold_table(spark, FINE)))
 
 
 @query()
 def sweep_single_class(spark, d):
-    c = scores.sweep_counts(_det(spark, d), _lab(spark, d), [0.2, 0.5, 0.8], IOU, GAP, one_class="bird")
-    return _short(scores.score_rows(c, scores.threshold_table(spark, [0.2, 0.5, 0.8])))
+    c = scores.sweep_counts(_det(spark, d), _lab(spark, d), FINE, IOU, GAP, one_class="bird")
+    return _short(scores.score_rows(c, scores.threshold_table(spark, FINE)))
 
 
 @query()
 def sweep_greedy(spark, d):
-    c = scores.sweep_counts(_det(spark, d), _lab(spark, d), [0.2, 0.5, 0.8], IOU, GAP, optimal=False)
-    return _short(scores.score_rows(c, scores.threshold_table(spark, [0.2, 0.5, 0.8])))
+    c = scores.sweep_counts(_det(spark, d), _lab(spark, d), FINE, IOU, GAP, optimal=False)
+    return _short(scores.score_rows(c, scores.threshold_table(spark, FINE)))
 
 
 # --- confusion ---------------------------------------------------------------------------
