@@ -88,3 +88,13 @@ def test_scores_cover_every_hundredth(spark, tmp_path):
     assert [r.best for r in run(spark, d, "top_species") + run(spark, d, "bottom_species")] == [1.0, 1.0]
     wide = entry.queries()["f_pivot"](spark, d)
     assert wide.columns == ["species", *(f"{t:.2f}" for t in grid)] and wide.first()["0.57"] == 1.0
+
+
+def test_wide_confusion_has_every_class(spark, tmp_path):
+    d = tables(spark, tmp_path, [song("f.wav", 0, 2, "new`1"), song("f.wav", 9, 11, "only.pred", 1)], [mark("f.wav", 0, 2, "st. x"), mark("f.wav", 20, 22, "pazreq")])
+    classes = ["background", "new`1", "only.pred", "pazreq", "st. x"]
+    want = {("new`1", "st. x"): 1, ("only.pred", "background"): 1, ("background", "pazreq"): 1}
+    m = {r["pred"]: r.asDict() for r in run(spark, d, "confusion_pivot")}
+    assert {(p, t): m[p][t] for p in m for t in m[p] if t != "pred"} == {(p, t): want.get((p, t), 0) for p in classes for t in classes}
+    named = {r["pred"]: r.asDict() for r in run(spark, d, "confusion_prefixed")}
+    assert {(p, t): n for p, r in named.items() for t, n in r.items() if n and t != "pred"} == {(f"pred_{p}", f"true_{t}"): n for (p, t), n in want.items()}

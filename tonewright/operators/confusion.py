@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonewright.operators.matching import common_files, edges, one_to_one
+from tonewright.session import cut
 
 BACKGROUND = "background"
 
@@ -57,10 +58,17 @@ def wide(cells: DataFrame, classes: list[str]) -> DataFrame:
     return cells.groupBy("pred").pivot("true", classes).agg(F.sum("n")).na.fill(0)
 
 
+def square(cells: DataFrame) -> DataFrame:
+    """The wide matrix with a row and a column for every class of the cells, those of one side included."""
+    cells = cut(cells)
+    names = cells.select(F.explode(F.array("pred", "true")).alias("pred")).distinct().withColumn("true", F.col("pred")).withColumn("n", F.lit(0).cast("long"))
+    return wide(cells.unionByName(names), [r["pred"] for r in names.orderBy("pred").collect()])  # column names
+
+
 def prefixed(matrix: DataFrame) -> DataFrame:
     """The wide matrix with ``pred_`` before row names and ``true_`` before column names."""
     named = matrix.withColumn("pred", F.concat(F.lit("pred_"), "pred"))
-    return named.select("pred", *[F.col(f"`{c}`").alias(f"true_{c}") for c in matrix.columns if c != "pred"])
+    return named.select("pred", *[F.col("`" + c.replace("`", "``") + "`").alias(f"true_{c}") for c in matrix.columns if c != "pred"])
 
 
 def normalised(cells: DataFrame) -> DataFrame:

@@ -433,17 +433,19 @@ def confusion_normalised(spark, d):
     return confusion.normalised(_cells(spark, d)).withColumn("share", F.round("share", 6))
 
 
+# of the comparison SQL only
 _WIDE = ["pazreq", "hozrek", "lozduv", "ruzstk", "background"]
 
 
 @query(f"""{_CELLS} SELECT pred, {', '.join(f"coalesce(sum(CASE WHEN true_ = '{c}' THEN n END), 0)::BIGINT AS {c}" for c in _WIDE)} FROM cells GROUP BY pred""")
 def confusion_pivot(spark, d):
-    return confusion.wide(_cells(spark, d), _WIDE)
+    """All classes as columns; the SQL has just five of them."""
+    return confusion.square(_cells(spark, d))
 
 
 @query(f"""{_CELLS} SELECT concat('pred_', pred) AS pred, {', '.join(f"coalesce(sum(CASE WHEN true_ = '{c}' THEN n END), 0)::BIGINT AS true_{c}" for c in _WIDE)} FROM cells GROUP BY pred""")
 def confusion_prefixed(spark, d):
-    return confusion.prefixed(confusion.wide(_cells(spark, d), _WIDE))
+    return confusion.prefixed(confusion.square(_cells(spark, d)))
 
 
 _MATRIX = f"""{_CELLS}, sc AS (SELECT coalesce(a.species, b.species) AS species, coalesce(predicted, 0) AS predicted, coalesce(actual, 0) AS actual, coalesce(tp, 0) AS tp
