@@ -98,3 +98,22 @@ def test_wide_confusion_has_every_class(spark, tmp_path):
     assert {(p, t): m[p][t] for p in m for t in m[p] if t != "pred"} == {(p, t): want.get((p, t), 0) for p in classes for t in classes}
     named = {r["pred"]: r.asDict() for r in run(spark, d, "confusion_prefixed")}
     assert {(p, t): n for p, r in named.items() for t, n in r.items() if n and t != "pred"} == {(f"pred_{p}", f"true_{t}"): n for (p, t), n in want.items()}
+
+
+def test_confusion_matches_second_best_pairs(spark, tmp_path):
+    # song b is best for both labels, and both songs' best label is y: one mutual pair, two matches
+    # z.wav has no labels, and its song counts too
+    d = tables(spark, tmp_path, [song("f.wav", 0, 10, "a", 0), song("f.wav", 2, 12, "b", 1), song("z.wav", 0, 1, "c", 2)], [mark("f.wav", 2, 12, "y"), mark("f.wav", 3, 16, "x")])
+    want = {("a", "x"): 1, ("b", "y"): 1, ("c", "background"): 1}
+    cells = {(r["pred"], r["true"]): r["n"] for r in run(spark, d, "confusion_long")}
+    assert cells == want
+    assert {(r["pred"], r["true"]): r["share"] for r in run(spark, d, "confusion_normalised")} == {k: 1.0 for k in want}
+    m = {r["pred"]: r.asDict() for r in run(spark, d, "confusion_pivot")}
+    assert m["a"]["x"] == m["b"]["y"] == 1 and not any(v for k, v in m["background"].items() if k != "pred")
+    assert {r.species: (r.true_positives, r.false_positives, r.false_negatives) for r in run(spark, d, "matrix_f_beta")} == {"a": (0, 1, 0), "b": (0, 1, 0), "c": (0, 1, 0), "x": (0, 0, 1), "y": (0, 0, 1)}
+    assert {(r["pred"], r["true"]) for r in run(spark, d, "confusion_mutual_best")} == {("b", "y"), ("a", "background"), ("c", "background"), ("background", "x")}
+
+
+def test_averages_rest_on_all_matches(spark, tmp_path):
+    d = tables(spark, tmp_path, [song("f.wav", 0, 10, "x", 0), song("f.wav", 2, 12, "x", 1)], [mark("f.wav", 2, 12), mark("f.wav", 3, 16)])
+    assert {r.f_beta for r in run(spark, d, "matrix_averages")} == {1.0}

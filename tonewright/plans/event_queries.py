@@ -416,7 +416,14 @@ cells AS (SELECT pred, true_, count(*) AS n FROM (
 
 
 def _cells(spark, d):
-    """Confusion cells over mutual best pairs, which SQL can tell too."""
+    """Confusion cells over optimal matches per file, in all files; the SQL has those over mutual best pairs, which can be fewer."""
+    s, lb = _songs(spark, d), _lab(spark, d)
+    return confusion.confusion(s, lb, confusion.matches(s, lb, IOU))
+
+
+@query(f'{_CELLS} SELECT pred, true_ AS "true", n FROM cells')
+def confusion_mutual_best(spark, d):
+    """Cells over mutual best pairs, which SQL can tell too; fewer pairs than can be matched."""
     s, lb = _songs(spark, d), _lab(spark, d)
     e = _edges(spark, d, keys=("stem",)).withColumn("iou", F.round("iou", 9)).withColumn("_id", F.col("det_id")).withColumn("det_id", F.struct("song_start", "filename", "species_id"))
     m = mutual_best(e.withColumn("one", F.lit(1)), ["one"]).select(F.col("_id").alias("det_id"), "label_id")
