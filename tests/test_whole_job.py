@@ -5,7 +5,7 @@ import random
 import pytest
 
 import __spark_entry__ as entry
-from tonewright.operators.matching import star_matches
+from tonewright.operators.matching import best_assignment, one_to_one, star_matches
 
 DETECTIONS = "det_id bigint, filename string, file_path string, species string, species_id int, confidence double, time_start double, time_end double, freq_low_hz int, freq_high_hz int, clip_start double, clip_end double"
 LABELS = "label_id bigint, filename string, time_start double, time_end double, freq_low_hz double, freq_high_hz double, species string"
@@ -117,3 +117,13 @@ def test_confusion_matches_second_best_pairs(spark, tmp_path):
 def test_averages_rest_on_all_matches(spark, tmp_path):
     d = tables(spark, tmp_path, [song("f.wav", 0, 10, "x", 0), song("f.wav", 2, 12, "x", 1)], [mark("f.wav", 2, 12), mark("f.wav", 3, 16)])
     assert {r.f_beta for r in run(spark, d, "matrix_averages")} == {1.0}
+
+
+def test_long_chains_stay_one_part(spark):
+    # detection i meets labels i and i + 1; the better pairs leave one label in the middle out
+    r = random.Random(5)
+    e = [("f", i, j, r.randrange(30, 90) / 100) for i in range(150) for j in (i, i + 1)]
+    got = one_to_one(spark.createDataFrame(e, "stem string, det_id bigint, label_id bigint, iou double"), ["stem"]).collect()
+    want = best_assignment([{"d": d, "l": lb, "iou": v} for _, d, lb, v in e])
+    assert len(got) == len({x.det_id for x in got}) == len({x.label_id for x in got}) == 150
+    assert {(x.det_id, x.label_id) for x in got} == {w[:2] for w in want}

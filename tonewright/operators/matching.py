@@ -148,24 +148,28 @@ def greedy_assignment(edge_list: list) -> list[tuple]:
     return out
 
 
-def _cluster(e: DataFrame, keys: list[str], rounds: int = 50) -> DataFrame:
+def _cluster(e: DataFrame, keys: list[str]) -> DataFrame:
     """``part`` for edges that aren't alone: the smallest label id that can be reached.
 
     Edges whose both ends have no other edge are certain and never come here. Labels spread
     along shared detections and back until nothing changes; each round is two aggregations.
+    Parts that are still open after four rounds also take the part of their part's label,
+    which doubles the distance each round, so long chains end soon too.
     """
     from tonewright.session import cut
 
-    state = cut(e.withColumn("part", F.col("label_id")))
-    for _ in range(rounds):
+    state, n = cut(e.withColumn("part", F.col("label_id"))), 0
+    while True:
         by_det = Window.partitionBy(*keys, "det_id")
         by_lab = Window.partitionBy(*keys, "label_id")
         new = state.withColumn("_p", F.min("part").over(by_det)).withColumn("_q", F.min("_p").over(by_lab))
         new = cut(new.withColumn("_moved", F.col("_q") != F.col("part")).withColumn("part", F.col("_q")).drop("_p", "_q"))
         if new.where("_moved").isEmpty():
             return new.drop("_moved")
-        state = new.drop("_moved")
-    return state
+        state, n = new.drop("_moved"), n + 1
+        if n >= 4:
+            heads = state.select(*keys, F.col("label_id").alias("part"), F.col("part").alias("_head")).distinct()
+            state = cut(state.join(heads, [*keys, "part"]).drop("part").withColumnRenamed("_head", "part"))
 
 
 def one_to_one(e: DataFrame, keys: list[str], optimal: bool = True) -> DataFrame:
