@@ -5,6 +5,7 @@ import random
 import pytest
 
 import __spark_entry__ as entry
+from tonewright import cli
 from tonewright.operators.matching import best_assignment, one_to_one, star_matches
 
 DETECTIONS = "det_id bigint, filename string, file_path string, species string, species_id int, confidence double, time_start double, time_end double, freq_low_hz int, freq_high_hz int, clip_start double, clip_end double"
@@ -127,3 +128,17 @@ def test_long_chains_stay_one_part(spark):
     want = best_assignment([{"d": d, "l": lb, "iou": v} for _, d, lb, v in e])
     assert len(got) == len({x.det_id for x in got}) == len({x.label_id for x in got}) == 150
     assert {(x.det_id, x.label_id) for x in got} == {w[:2] for w in want}
+
+
+def test_matrix_of_too_many_classes_is_written_as_cells(spark, tmp_path, monkeypatch):
+    head = "Filename,Start Time (s),End Time (s),Low Freq (Hz),High Freq (Hz),Species eBird Code\n"
+    (tmp_path / "d.csv").write_text(head + "".join(f"f.wav,{10 * i},{10 * i + 2},100,200,s{i}\n" for i in range(4)))
+    (tmp_path / "l.csv").write_text(head + "".join(f"f.wav,{10 * i},{10 * i + 2},100,200,t{i}\n" for i in range(4)))
+    monkeypatch.setattr(cli, "WIDEST", 8)  # of 9 classes
+    cli.main(["confusion", "--detections", str(tmp_path / "d.csv"), "--labels", str(tmp_path / "l.csv"), "--output-path", str(tmp_path / "c")])
+    rows = spark.read.option("header", True).csv(str(tmp_path / "c/confusion_cells.csv")).collect()
+    assert sorted((r["pred"], r["true"], r["n"]) for r in rows) == [(f"s{i}", f"t{i}", "1") for i in range(4)]
+    assert not (tmp_path / "c/confusion_matrix.csv").exists() and any("9" in x.value for x in spark.read.text(str(tmp_path / "c/metadata.txt")).collect())
+    monkeypatch.setattr(cli, "WIDEST", 9)
+    cli.main(["confusion", "--detections", str(tmp_path / "d.csv"), "--labels", str(tmp_path / "l.csv"), "--output-path", str(tmp_path / "w")])
+    assert len(spark.read.option("header", True).csv(str(tmp_path / "w/confusion_matrix.csv")).columns) == 10

@@ -13,6 +13,9 @@ from tonewright.operators import confusion, scores, songs, summaries
 from tonewright.session import build_session
 from tonewright.sources import readers, writers
 
+#: With more classes than this the confusion matrix is written as its cells above 0, not as columns.
+WIDEST = 10_000
+
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tonewright", description="Detections: filter and merge, score, confuse.")
@@ -101,11 +104,15 @@ def main(argv: list[str] | None = None) -> None:
         if a.single_cls:
             det, labels = (x.withColumn("species", scores.single_class(F.col("species"), a.single_cls_name)) for x in (det, labels))
         cells = confusion.analyse(det, labels, a.iou_threshold, not a.use_1d_iou, not a.no_background, dense=True).cache()
-        classes = [r["true"] for r in cells.select("true").distinct().orderBy("true").limit(10_000).collect()]  # column names
-        matrix = confusion.wide(cells, classes)
-        writers.write_matrix(matrix, f"{a.output_path}/confusion_matrix.csv")
-        writers.write_matrix(confusion.prefixed(matrix), f"{a.output_path}/confusion_matrix_labelled.csv")
-        facts = {"iou_threshold": a.iou_threshold, "use_2d_iou": not a.use_1d_iou, "classes": len(classes)}
+        names = cells.select("true").distinct().orderBy("true")
+        n = names.count()
+        if n > WIDEST:
+            writers.write_matrix(cells.where("n > 0"), f"{a.output_path}/confusion_cells.csv")
+        else:
+            matrix = confusion.wide(cells, [r["true"] for r in names.collect()])  # column names
+            writers.write_matrix(matrix, f"{a.output_path}/confusion_matrix.csv")
+            writers.write_matrix(confusion.prefixed(matrix), f"{a.output_path}/confusion_matrix_labelled.csv")
+        facts = {"iou_threshold": a.iou_threshold, "use_2d_iou": not a.use_1d_iou, "classes": n}
         writers.metadata_rows(spark, facts).coalesce(1).write.mode("overwrite").text(f"{a.output_path}/metadata.txt")
         summaries.dataset_statistics(det, labels).show(1000, False)
     else:
