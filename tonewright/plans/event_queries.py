@@ -11,6 +11,7 @@ from tonewright.functions.naming import basename, recording, species_code, stem
 from tonewright.operators import clips, confusion, scores, songs, summaries, taxonomy
 from tonewright.operators.matching import common_files, edges, mutual_best, one_to_one, unmatched
 from tonewright.plans.tables import SQL_CODE, table
+from tonewright.session import cut
 from tonewright.sources import writers
 from tonewright.streaming.songs import stream_songs
 
@@ -417,7 +418,7 @@ cells AS (SELECT pred, true_, count(*) AS n FROM (
 
 def _cells(spark, d):
     """Confusion cells over optimal matches per file, in all files; the SQL has those over mutual best pairs, which can be fewer."""
-    s, lb = _songs(spark, d), _lab(spark, d)
+    s, lb = cut(_songs(spark, d)), _lab(spark, d)
     return confusion.confusion(s, lb, confusion.matches(s, lb, IOU))
 
 
