@@ -26,7 +26,8 @@ def valid_rows(df: DataFrame, keys: list[str], start: Column, end: Column) -> Da
 
 
 def shard_of(shard_seconds: float) -> Column:
-    return F.floor(F.col("_s") / F.lit(float(shard_seconds)))
+    # never NULL, so that no filter on it makes two readers of one shuffle differ
+    return F.coalesce(F.floor(F.col("_s") / F.lit(float(shard_seconds))), F.lit(0).cast("long"))
 
 
 def pieces(rows: DataFrame, keys: list[str], gap: float, shard_seconds: float = 600.0, order: tuple[str, ...] = ("_e",), carry: tuple[Column, ...] = ()) -> DataFrame:
