@@ -11,21 +11,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonewright.functions.ordered import ordered_double, ordered_long
+from tonewright.functions.ordered import ordered_double, with_ordered_long
 from tonewright.session import cut
 
 _TOP_SHIFT = 44  # first bins: exponent and 8 bits of the mantissa
 _BINS = 1024
-_MAX_ROUNDS = 8  # 44 bits at 10 a round need 5; the rest is spare
+_MAX_ROUNDS = 8  # 44 bits at 10 a round need 5; more is an error
 
 
 def _keyed(df: DataFrame, keys: dict[str, Column], value: Column | None, valid: Column | None) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(name).alias("key_field"), c.cast("string").alias("key_value")) for name, c in keys.items()])
-    code = F.lit(None).cast("long") if value is None else ordered_long(value)
-    if valid is not None:
-        code = F.when(valid, code)
+    usable = F.lit(None).cast("double") if value is None else value if valid is None else F.when(valid, value)
+    # the code is worked out once per row, before a row is multiplied by its keys
+    rows = with_ordered_long(df.select(pairs.alias("_pairs"), usable.alias("_u")), F.col("_u"), "_v")
     return (
-        df.select(F.explode(pairs).alias("_k"), code.alias("_v"))
+        rows.select(F.explode("_pairs").alias("_k"), "_v")
         .select("_k.key_field", "_k.key_value", "_v")
         .where(F.col("key_value").isNotNull())
     )
@@ -55,11 +55,12 @@ def busy_keys(df: DataFrame, keys: dict[str, Column], share: float = 0.03, value
     if not 0 < share <= 1:
         raise ValueError("share must be above 0 and at most 1")
     marked = {name: F.coalesce(F.concat(F.lit("k"), c.cast("string")), F.lit("-")) for name, c in keys.items()}
-    counts = key_histogram(df, marked, value, valid).groupBy("key_field", "key_value").agg(F.sum("n").alias("n_rows"))
+    # whether it's a key is an aggregate: as a filter on the name it would be pushed into one of two scans, and nothing be shared
+    counts = key_histogram(df, marked, value, valid).groupBy("key_field", "key_value").agg(F.sum("n").alias("n_rows"), F.max(F.col("key_value") != "-").alias("_named"))
     totals = counts.groupBy("key_field").agg(F.sum("n_rows").alias("total_rows"))
     return (
-        counts.where(F.col("key_value") != "-")
-        .join(totals, "key_field")
+        counts.join(totals, "key_field")
+        .where(F.col("_named"))
         .where(F.col("n_rows") >= F.col("total_rows") * F.lit(share))
         .select("key_field", F.substring("key_value", 2, 1 << 30).alias("key_value"), "n_rows", "total_rows")
     )
@@ -111,10 +112,12 @@ def key_quantiles(
     state = cut(state.withColumn("_code", _known(F.col("_rank"))))
     found = [state.where(F.col("_code").isNotNull())]
     rows = _keyed(df, keys, value, valid).where(F.col("_v").isNotNull()).withColumn("bin", F.shiftright("_v", _TOP_SHIFT))
-    for _ in range(_MAX_ROUNDS):
+    for round_ in range(_MAX_ROUNDS + 1):
         left = state.where(F.col("_code").isNull())
         if left.isEmpty():
             break
+        if round_ == _MAX_ROUNDS:
+            raise RuntimeError("ranks are still open after all bits were read")
         # joined on key and bin: a busy key is spread over its bins, and Spark broadcasts only below its own size limit
         inside = rows.join(left.select(*key, "bin", "percent", "n_values", "_rank", "lo", "hi"), [*key, "bin"]).where(
             F.col("_v").between(F.col("lo"), F.col("hi"))
