@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tonewright.functions import geometry as geo
 from tonewright.functions import text as txt
 from tonewright.functions.naming import stem
-from tonewright.operators import clips, confusion, scores, songs, taxonomy
+from tonewright.operators import clips, confusion, scores, songs, sweep, taxonomy
 from tonewright.operators.matching import best_assignment, common_files, edges, greedy_assignment, one_to_one
 from tonewright.sources import audio, readers, writers
 
@@ -92,10 +92,16 @@ def test_suppression_matches_greedy_and_keeps_equal_overlap(spark):
         songs.merge_detections(two, "other")
 
 
+def solve(method, es):
+    """Matched edges (d, l, iou) of records."""
+    at = method([e["d"] for e in es], [e["l"] for e in es], [e["iou"] for e in es])
+    return [(es[k]["d"], es[k]["l"], es[k]["iou"]) for k in at]
+
+
 def test_assignment_is_largest_then_heaviest():
     g6 = [{"d": "A", "l": 1, "iou": 0.9}, {"d": "A", "l": 2, "iou": 0.3}, {"d": "B", "l": 1, "iou": 0.3}]
-    assert sorted(best_assignment(g6)) == [("A", 2, 0.3), ("B", 1, 0.3)]
-    assert greedy_assignment(g6) == [("A", 1, 0.9)]
+    assert sorted(solve(best_assignment, g6)) == [("A", 2, 0.3), ("B", 1, 0.3)]
+    assert solve(greedy_assignment, g6) == [("A", 1, 0.9)]
     r = random.Random(9)
     for _ in range(300):
         n, m = r.randrange(1, 5), r.randrange(1, 5)
@@ -105,7 +111,7 @@ def test_assignment_is_largest_then_heaviest():
             for c in itertools.combinations(es, k):
                 if len({e["d"] for e in c}) == k == len({e["l"] for e in c}):
                     best = max(best, (k, round(sum(e["iou"] for e in c), 9)))
-        got = best_assignment(es)
+        got = solve(best_assignment, es)
         assert (len(got), round(sum(x[2] for x in got), 9)) == best
 
 
@@ -131,10 +137,10 @@ def test_edges_need_overlap_and_find_every_pair(spark):
                 want.add((i, j))
     assert got == want and len(want) > 20
     e = edges(det(spark, ds).withColumn("stem", F.col("filename")), lab(spark, ls), ["stem"], 0.05)
-    whole = best_assignment([{"d": x.det_id, "l": x.label_id, "iou": x.iou} for x in e.collect()])
+    whole = solve(best_assignment, [{"d": x.det_id, "l": x.label_id, "iou": x.iou} for x in e.collect()])
     solved = one_to_one(e, ["stem"]).collect()
     assert len(solved) == len(whole) and abs(sum(x.iou for x in solved) - sum(x[2] for x in whole)) < 1e-9
-    greedy = greedy_assignment([{"d": x.det_id, "l": x.label_id, "iou": x.iou} for x in e.collect()])
+    greedy = solve(greedy_assignment, [{"d": x.det_id, "l": x.label_id, "iou": x.iou} for x in e.collect()])
     assert {(x.det_id, x.label_id) for x in one_to_one(e, ["stem"], False).collect()} == {g[:2] for g in greedy}
 
 
@@ -271,10 +277,83 @@ def test_stream_agrees_with_batch(spark, tmp_path):
 
 def test_sweep_songs_are_those_of_each_threshold(spark):
     r = random.Random(12)
-    rows = [box(r.choice(["f", "g", None]), s := r.randrange(400) / 4, s + r.choice([0.25, 1, 3]), r.choice([None, float("nan"), *(k / 10 for k in range(11))]), r.choice([0, 1, None])) for _ in range(500)]
+    rows = [box(r.choice(["f", "g", None]), s := r.randrange(400) / 4, s + r.choice([0.25, 1, 3, -0.5, 35 if r.random() < 0.1 else 1]), r.choice([None, float("nan"), *(k / 10 for k in range(11))]), r.choice([0, 1, None])) for _ in range(500)]
     df = det(spark, rows)
-    swept = songs.reconstruct(df, 0.25, shard_seconds=10, thresholds=[0.0, 0.3, 0.8]).collect()
+    swept = sweep.at_each(sweep.song_versions(df, [0.0, 0.3, 0.8], 0.25, shard_seconds=10), [0.0, 0.3, 0.8]).collect()
     for t in (0.0, 0.3, 0.8):
         own = songs.reconstruct(songs.confident(df, t), 0.25).collect()
-        key = lambda x: (x.filename or "", x.species_id is None, x.species_id or 0, x.time_start, x.time_end, x.detections_merged)
+        key = lambda x: (x.filename or "", x.species_id is None, x.species_id or 0, x.time_start, x.time_end, x.detections_merged, x.species, x.freq_low_hz, x.freq_high_hz, x.max_confidence or -1, round(x.avg_confidence or -1, 9))
         assert sorted(map(key, (x for x in swept if x.threshold == t))) == sorted(map(key, own))
+
+
+def test_sweep_of_nothing_and_of_one_row(spark):
+    assert sweep.song_versions(det(spark, []), [0.0, 0.5]).count() == 0
+    one = sweep.song_versions(det(spark, [box("f", 0, 1, 0.5)]), [0.0, 0.5, 0.6]).collect()
+    assert [(x.lo, x.hi, x.time_end, x.detections_merged) for x in one] == [(0, 1, 1.0, 1)]
+    with pytest.raises(ValueError):
+        sweep.song_versions(det(spark, []), [0.5, 0.5])
+
+
+def test_edges_of_absurd_bounds(spark):
+    inf = float("inf")
+    d = det(spark, [box("f", 0, 1e12), box("f", 0, inf), box("f", float("nan"), 2), box("f", 5, 5), box("f", 0, 1e-9)]).withColumn("stem", F.col("filename"))
+    labels = lab(spark, [("f", "x", 0.0, 9e11, 100.0, 200.0), ("f", "x", 0.0, inf, 100.0, 200.0), ("f", "x", 0.0, 1e-9, 100.0, 200.0)])
+    assert sorted((x.det_id, x.label_id) for x in edges(d, labels, ["stem"], 0.5).collect()) == [(0, 0), (4, 2)]
+
+
+def test_suppression_keeps_rows_without_time(spark):
+    rows = [box("f", 0, 1), box("f", 0, 1, 0.8), ("f", "x", 0, 0.5, None, 1.0, 1, 2), ("f", "x", 0, 0.5, 0.0, float("nan"), 1, 2), box("f", 5, 4)]
+    assert sorted(x.det_id for x in songs.suppress(det(spark, rows), 0.5).collect()) == [0, 2, 3, 4]
+
+
+def test_annotation_documents_have_all_fields_and_are_cut(spark):
+    rows = [box(f"r{k}_XC{k}.wav", k, k + 1, 0.5) for k in range(7)]
+    notes = writers.annotation_rows(songs.reconstruct(det(spark, rows), 0.1), F.col("species"), software="s")
+    docs = [json.loads(r[0]) for r in writers.annotation_set(notes, "n", software="s", most=3).collect()]
+    assert [[a["annotation_source_id"] for a in d["annotations"]] for d in docs] == [[f"segment-{i:06d}" for i in g] for g in ((1, 2, 3), (4, 5, 6), (7,))]
+    assert docs[0]["scope"] == [{"taxon_coverage": "x", "completeness": "part"}] and len(docs[0]) == 14
+    a = docs[0]["annotations"][0]
+    assert a["annotation_remarks"] == "Detected by s; eBird code: x; confidence: 0.500" and a["xc_nr"] == "0" and a["sound_type"] == "call" and len(a) == 13
+    bare = writers.annotation_set(writers.annotation_rows(songs.reconstruct(det(spark, [box("f", 0, 1)]), 0.1), F.lit("")), "n").first()[0]
+    assert json.loads(bare)["scope"][0]["taxon_coverage"] == "birds"
+
+
+def test_documents_of_several_files_and_long_files(spark, tmp_path):
+    rows = [box("f", k, k + 0.5) for k in range(7)] + [box("g", 0, 1)]
+    per = [json.loads(r.value) for r in writers.documents(det(spark, rows), {}, most=3, filtering={"confidence_threshold": 0.2}, original_count=99).collect()]
+    assert sorted((d["audio_file"], d["part_no"], d["detection_count"]) for d in per) == [("f", 0, 3), ("f", 1, 3), ("f", 2, 1), ("g", 0, 1)]
+    assert all(d["filtering_config"] == {"confidence_threshold": 0.2} and d["original_detection_count"] == 99 for d in per)
+    assert sorted(x["time_start"] for d in per for x in d["detections"] if d["audio_file"] == "f") == [float(k) for k in range(7)]
+    several = writers.documents(det(spark, rows), {}, per_file=False)
+    one = json.loads(several.first().value)
+    assert one["audio_files"] == ["f", "g"] and one["file_count"] == 2 and one["detection_count"] == 8
+    several.select("value").write.text(str(tmp_path / "d"))
+    back = readers.read_detections(spark, str(tmp_path / "d/*.txt"), lines=True).collect()
+    assert len(back) == 8 == len({x.det_id for x in back})
+
+
+def test_blank_rows_and_warnings(spark):
+    rows = spark.createDataFrame([(" ", None, None), ("a", " ", None), (None, None, 1)], "x string, y string, z int")
+    assert sorted(map(tuple, readers.drop_blank_rows(rows).collect()), key=str) == [("a", None, None), (None, None, 1)]
+    sheet = spark.createDataFrame([("species", c, n, "e") for c, n in (("a", "A"), ("a", "B"), ("b", "A"))], "taxon_rank string, species_code_cornell_lab string, scientific_name string, english_name_avilist string")
+    assert sorted(map(tuple, taxonomy.warnings(sheet).collect())) == [("merge", "A", "a, b"), ("split", "a", "2")]
+
+
+def test_normalisation_against_its_definition():
+    import numpy as np
+
+    e = np.abs(np.random.default_rng(3).standard_normal((4, 30))) * 1e6
+    t = audio.TIME_CONSTANT * audio.RATE / audio.HOP
+    s = (np.sqrt(1 + 4 * t * t) - 1) / (2 * t * t)
+    level, want = 1.0, []
+    for k in range(30):
+        level = (1 - s) * level + s * e[:, k]
+        want.append((e[:, k] / (1e-6 + level) ** 0.75 + 1) ** 0.35 - 1)
+    assert np.allclose(audio.normalised(e), np.array(want).T)
+    x = (np.sin(np.arange(125 * audio.RATE) * 0.4) * np.linspace(0.1, 1, 125 * audio.RATE)).astype(np.float32)
+    got = dict(audio.clips_of_samples(x))
+    assert sorted(got) == list(range(82)) and all(v.shape == (256, 252) for v in got.values())
+    # the clip at 61.5 s belongs to the second minute, whose sound starts at 58 s
+    assert np.array_equal(got[41], audio.pcen(x[58 * audio.RATE : 122 * audio.RATE])[:, 298 : 298 + 252])
+    first = audio.pcen(x[: 62 * audio.RATE])
+    assert np.array_equal(got[0], first[:, :252])

@@ -2,11 +2,9 @@
 
 import random
 
-import pytest
-
 import __spark_entry__ as entry
 from tonewright import cli
-from tonewright.operators.matching import best_assignment, one_to_one, star_matches
+from tonewright.operators.matching import best_assignment, one_to_one
 
 DETECTIONS = "det_id bigint, filename string, file_path string, species string, species_id int, confidence double, time_start double, time_end double, freq_low_hz int, freq_high_hz int, clip_start double, clip_end double"
 LABELS = "label_id bigint, filename string, time_start double, time_end double, freq_low_hz double, freq_high_hz double, species string"
@@ -70,13 +68,6 @@ def test_several_songs_of_a_label_are_one_true_positive(spark, tmp_path):
     assert sum(got.values()) < len({p[0] for p in pairs})  # counting songs would differ
 
 
-def test_counting_songs_refuses_labels_with_several(spark):
-    e = spark.createDataFrame([("x", 1, 7, 0.9), ("x", 2, 7, 0.8)], "species string, det_id bigint, label_id bigint, iou double")
-    with pytest.raises(ValueError):
-        star_matches(e, ["species"])
-    assert [r.tp for r in star_matches(e.where("det_id = 1"), ["species"]).collect()] == [1]
-
-
 def test_scores_cover_every_hundredth(spark, tmp_path):
     # the right song is sure to 0.57, false ones up to 0.56: only at 0.57 does F reach 1
     d = tables(spark, tmp_path, [song("f.wav", 0, 2, conf=0.57), song("f.wav", 10, 12, conf=0.56), song("f.wav", 20, 22, conf=0.54)], [mark("f.wav", 0, 2)])
@@ -123,11 +114,25 @@ def test_averages_rest_on_all_matches(spark, tmp_path):
 def test_long_chains_stay_one_part(spark):
     # detection i meets labels i and i + 1; the better pairs leave one label in the middle out
     r = random.Random(5)
-    e = [("f", i, j, r.randrange(30, 90) / 100) for i in range(150) for j in (i, i + 1)]
+    e = [("f", i, j, r.randrange(30, 90) / 100) for i in range(1000) for j in (i, i + 1)]
     got = one_to_one(spark.createDataFrame(e, "stem string, det_id bigint, label_id bigint, iou double"), ["stem"]).collect()
-    want = best_assignment([{"d": d, "l": lb, "iou": v} for _, d, lb, v in e])
-    assert len(got) == len({x.det_id for x in got}) == len({x.label_id for x in got}) == 150
-    assert {(x.det_id, x.label_id) for x in got} == {w[:2] for w in want}
+    want = best_assignment([x[1] for x in e], [x[2] for x in e], [x[3] for x in e])
+    assert len(got) == len({x.det_id for x in got}) == len({x.label_id for x in got}) == 1000
+    assert {(x.det_id, x.label_id) for x in got} == {e[k][1:3] for k in want}
+    # the label left out is where the sums of the pairs to the left and to the right are best
+    left, right = [e[2 * i][3] for i in range(1000)], [e[2 * i + 1][3] for i in range(1000)]
+    best = max(sum(left[:k]) + sum(right[k:]) for k in range(1001))
+    assert abs(sum(x.iou for x in got) - best) < 1e-9
+
+
+def test_greedy_goes_by_file_and_start(spark):
+    # the later row has the smaller id; by start the first takes label 1, the second is left with label 2
+    e = spark.createDataFrame([("s", 9, 1, 0.6, 0.0), ("s", 2, 1, 0.9, 1.0), ("s", 2, 2, 0.5, 1.0)], "stem string, det_id bigint, label_id bigint, iou double, start double")
+    assert sorted(x[1:3] for x in one_to_one(e, ["stem"], False, "start").collect()) == [(2, 2), (9, 1)]
+    assert [x[1:3] for x in one_to_one(e, ["stem"], False).collect()] == [(2, 1)]
+    # ids of any type
+    text = e.withColumn("det_id", e.det_id.cast("string"))
+    assert sorted(x[1:3] for x in one_to_one(text, ["stem"]).collect()) == [("2", 2), ("9", 1)]
 
 
 def test_matrix_of_too_many_classes_is_written_as_cells(spark, tmp_path, monkeypatch):

@@ -1,4 +1,4 @@
-"""Command line: ``python -m tonewright.cli filter|sweep|confusion|detect ...``"""
+"""Command line: ``python -m tonewright.cli filter|sweep|confusion|detect|taxonomy ...``"""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import os
 from pyspark.sql import functions as F
 
 from tonewright.functions.naming import stem
-from tonewright.operators import confusion, scores, songs, summaries
+from tonewright.operators import confusion, scores, songs, summaries, taxonomy
 from tonewright.session import build_session
 from tonewright.sources import readers, writers
 
@@ -50,12 +50,16 @@ def _parser() -> argparse.ArgumentParser:
     d.add_argument("--audio", required=True)
     d.add_argument("--detector", required=True, help="module:Class of a tonewright.operators.clips.Detector")
     d.add_argument("--species-dim", required=True, help="parquet with species_id and code")
+    d.add_argument("--species-mapping", help="the mapping of the dimension to use, where it holds several")
     d.add_argument("--conf", type=float, default=0.2)
     d.add_argument("--nms-iou", type=float, default=0.7)
     d.add_argument("--song-gap", type=float, default=0.1)
     d.add_argument("--no-merge", action="store_true")
     d.add_argument("--output-path", required=True)
     d.add_argument("--output-format", choices=["json", "csv", "xc-json", "all"], default="all")
+    t = sub.add_parser("taxonomy", help="lookup of names by code")
+    t.add_argument("--input", required=True, help="sheet with rank, code and names: csv, parquet or a spreadsheet")
+    t.add_argument("--output-path", required=True)
     return p
 
 
@@ -88,10 +92,12 @@ def main(argv: list[str] | None = None) -> None:
         gap = _gap(spark, a.input, a.song_gap, lines(a.input))
         summaries.filter_summary(det, a.conf, gap).show()
         merged = songs.filter_then_merge(det, a.conf, gap)
-        writers.save(merged, a.output_path, a.output_format, {"confidence_threshold": a.conf, "song_gap_threshold": gap})
+        config = readers.read_document(spark, a.input, lines(a.input)).select("model_config.*").first()
+        limits = {"confidence_threshold": a.conf, "song_gap_threshold": gap}
+        writers.save(merged, a.output_path, a.output_format, config.asDict() if config else {}, filtering=limits, original_count=det.count())
     elif a.task == "sweep":
         det = readers.read_detections(spark, a.detections, lines(a.detections))
-        labels = with_stem(readers.read_csv(spark, a.labels))
+        labels = readers.read_csv(spark, a.labels)
         grid = songs.threshold_grid(*a.conf_range)
         counts = scores.sweep_counts(det, labels, grid, a.iou_threshold, _gap(spark, a.detections, a.song_gap, lines(a.detections)), not a.no_optimal_matching, a.single_cls_name if a.single_cls else None)
         rows = scores.score_rows(counts, scores.threshold_table(spark, grid), a.beta).cache()
@@ -112,19 +118,33 @@ def main(argv: list[str] | None = None) -> None:
             matrix = confusion.wide(cells, [r["true"] for r in names.collect()])  # column names
             writers.write_matrix(matrix, f"{a.output_path}/confusion_matrix.csv")
             writers.write_matrix(confusion.prefixed(matrix), f"{a.output_path}/confusion_matrix_labelled.csv")
-        facts = {"iou_threshold": a.iou_threshold, "use_2d_iou": not a.use_1d_iou, "classes": n}
+        species = [r["species"] for r in confusion.class_list(det, labels).limit(WIDEST).collect()] if n <= WIDEST else ["see confusion_cells.csv"]  # column names
+        facts = {
+            "detections_file": a.detections, "labels_file": a.labels, "iou_threshold": a.iou_threshold, "iou_type": "1D (time only)" if a.use_1d_iou else "2D (time-frequency)",
+            "matching_method": "Optimal (Hungarian)", "include_background": not a.no_background, "num_detections": det.count(), "num_labels": labels.count(),
+            "num_species": n - (not a.no_background), "species_list": ", ".join(species), "classes": n,
+        }
+        table = writers.score_table(confusion.class_scores(cells), confusion.average_scores(cells))
+        table.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{a.output_path}/f_beta_table.csv")
         writers.metadata_rows(spark, facts).coalesce(1).write.mode("overwrite").text(f"{a.output_path}/metadata.txt")
         summaries.dataset_statistics(det, labels).show(1000, False)
+    elif a.task == "taxonomy":
+        sheet = readers.drop_blank_rows(readers.read_taxonomy_sheet(spark, a.input))
+        writers.taxonomy_json(taxonomy.taxonomy_map(sheet)).coalesce(1).write.mode("overwrite").text(a.output_path)
+        taxonomy.warnings(sheet).show(60, False)
     else:
         from tonewright.operators.clips import boxes_to_detections, run_detector
         from tonewright.sources.audio import clips_of
 
         module, _, name = a.detector.partition(":")
         found = clips_of(readers.find_audio(spark, a.audio, content=True)).where("error is null")
-        boxes = run_detector(found, getattr(importlib.import_module(module), name)())
-        det = boxes_to_detections(boxes, spark.read.parquet(a.species_dim))
-        det = songs.confident(det.withColumn("det_id", F.xxhash64("filename", "time_start", "time_end", "species_id", "freq_low_hz")), a.conf)
-        writers.save(det if a.no_merge else songs.reconstruct(det, a.song_gap), a.output_path, a.output_format, {"confidence_threshold": a.conf, "nms_iou_threshold": a.nms_iou, "song_gap_threshold": a.song_gap})
+        boxes = run_detector(found, getattr(importlib.import_module(module), name)(), a.conf, a.nms_iou)
+        dim = spark.read.parquet(a.species_dim)
+        if a.species_mapping:
+            dim = taxonomy.species_mapping(dim, a.species_mapping)
+        det = boxes_to_detections(boxes, dim)
+        det = songs.confident(det.withColumn("det_id", F.monotonically_increasing_id()), a.conf)
+        writers.save(det if a.no_merge else songs.reconstruct(det, a.song_gap), a.output_path, a.output_format, {"confidence_threshold": a.conf, "nms_iou_threshold": a.nms_iou, "song_gap_threshold": a.song_gap, "species_mapping": a.species_mapping, "model": a.detector})
 
 
 if __name__ == "__main__":

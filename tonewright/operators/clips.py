@@ -6,14 +6,14 @@ from collections.abc import Iterable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonewright.functions.geometry import pixel_to_hz, pixel_to_seconds
 from tonewright.operators.taxonomy import with_code
 from tonewright.schema import BOX_FIELDS
 
-CLIP_S, HOP_S, SEGMENT_S, PAD_S = 3.0, 1.5, 60.0, 2.0
+CLIP_S, HOP_S, SEGMENT_S = 3.0, 1.5, 60.0
 
 
 def clip_schedule(files: DataFrame, duration: str = "duration", clip: float = CLIP_S, hop: float = HOP_S) -> DataFrame:
@@ -28,14 +28,14 @@ def clip_schedule(files: DataFrame, duration: str = "duration", clip: float = CL
     )
 
 
-def segment_bounds(segment: Column, duration: Column) -> tuple[Column, Column]:
-    """Start and end of a segment with its padding on both sides, inside the recording."""
-    start = segment * F.lit(SEGMENT_S)
-    return F.greatest(F.lit(0.0), start - F.lit(PAD_S)), F.least(duration, start + F.lit(SEGMENT_S + PAD_S))
+class Detector(Protocol):
+    """Finds boxes in clips. ``load`` runs once per task; pixels are those of a 256 x 256 image.
 
+    ``configure`` is called before with the least confidence and the IoU above which the
+    detector's own suppression drops a box; a detector without it keeps its own settings.
+    """
 
-class Detector(Protocol):
-    """Finds boxes in clips. ``load`` runs once per task; pixels are those of a 256 x 256 image."""
+    def configure(self, conf: float, nms_iou: float) -> None: ...
 
     def load(self) -> None: ...
 
@@ -43,11 +43,13 @@ class Detector(Protocol):
         """Records with the columns of :data:`tonewright.schema.BOX_FIELDS`."""
 
 
-def run_detector(clips: DataFrame, detector: Detector) -> DataFrame:
-    """Boxes of all clips; the detector is loaded once per task."""
+def run_detector(clips: DataFrame, detector: Detector, conf: float | None = None, nms_iou: float | None = None) -> DataFrame:
+    """Boxes of all clips; the detector is loaded once per task, with ``conf`` and ``nms_iou`` where given."""
     fields = [f.split()[0] for f in BOX_FIELDS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if hasattr(detector, "configure") and conf is not None and nms_iou is not None:
+            detector.configure(conf, nms_iou)
         detector.load()
         for batch in batches:
             yield pd.DataFrame(list(detector.boxes(batch.to_dict("records"))), columns=fields)

@@ -2,31 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from heapq import heappop, heappush
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonewright.functions.geometry import box_iou, hull_iou
+from tonewright.functions.naming import finite
+from tonewright.session import cut
 
 
 def edges(det: DataFrame, lab: DataFrame, keys: list[str], least: float, boxes: bool = True, keep: tuple[str, ...] = (), bucket_seconds: float = 60.0) -> DataFrame:
     """Pairs of one key with an IoU of at least ``least`` and above 0: ``keys, det_id, label_id, iou``.
 
     ``det`` has the keys and ``det_id, time_start, time_end, freq_low_hz, freq_high_hz``, ``lab`` the
-    same with ``label_id``. Only boxes that share time can pair, so both sides are joined on the
-    key and on the time buckets they touch; a pair is kept in the bucket where its overlap
-    starts. A key with very many boxes thus spreads over its buckets. ``keep`` names columns
-    of ``det`` to carry along.
+    same with ``label_id``; ids may be of any type. ``keep`` names columns of ``det`` to carry along.
+    Only boxes that share time can pair, so both sides are joined on the key and on the time
+    buckets they touch; a pair is kept in the bucket where its overlap starts, and a key with
+    very many boxes spreads over its buckets. An IoU of ``least`` bounds the ratio of two
+    lengths, so with ``least`` above 0 the buckets grow with the boxes (by powers of two) and
+    no box, however long, touches more than two of its own size; the labels enter the sizes
+    they can pair with. With ``least`` 0 every box touches buckets of ``bucket_seconds``.
+    Boxes with a bound that isn't finite have no IoU and don't count.
     """
     band = ["time_start", "time_end", "freq_low_hz", "freq_high_hz"]
 
     def side(df: DataFrame, p: str, i: str, more: tuple[str, ...] = ()) -> DataFrame:
-        cell = lambda c: F.floor(F.col(c) / F.lit(float(bucket_seconds)))
-        rows = df.select(*[F.col(k).alias(f"{p}_{k}") for k in keys], F.col(i).alias(i), *[F.col(c).alias(f"{p}_{c}") for c in band], *more)
-        ok = F.col(f"{p}_time_end") > F.col(f"{p}_time_start")
-        return rows.where(ok).withColumn(f"{p}_cell", F.explode(F.sequence(cell(f"{p}_time_start"), cell(f"{p}_time_end"))))
+        rows = df.select(*[F.col(k).alias(f"{p}_{k}") for k in keys], F.col(i).alias(i), *[finite(F.col(c)).alias(f"{p}_{c}") for c in band], *more)
+        return rows.where(F.col(f"{p}_time_end") > F.col(f"{p}_time_start"))
 
     a, b = side(det, "d", "det_id", keep), side(lab, "l", "label_id")
-    on = (F.col("d_cell") == F.col("l_cell")) & (F.floor(F.greatest("d_time_start", "l_time_start") / F.lit(float(bucket_seconds))) == F.col("d_cell"))
+    size = lambda p: F.floor(F.log2(F.col(f"{p}_time_end") - F.col(f"{p}_time_start"))).cast("int")
+    if least > 0:
+        reach = math.ceil(math.log2(1 / least)) + 1
+        a = a.withColumn("d_size", size("d"))
+        b = b.withColumn("l_size", F.explode(F.sequence(size("l") - reach, size("l") + reach)))
+        # 64 lengths: about a minute for boxes of a second
+        width = lambda p: F.pow(F.lit(2.0), F.col(f"{p}_size") + 6)
+        on = F.col("d_size") == F.col("l_size")
+    else:
+        width = lambda p: F.lit(float(bucket_seconds))
+        on = F.lit(True)
+    cell = lambda p, c: F.floor(c / width(p))
+    a = a.withColumn("d_cell", F.explode(F.sequence(cell("d", F.col("d_time_start")), cell("d", F.col("d_time_end")))))
+    b = b.withColumn("l_cell", F.explode(F.sequence(cell("l", F.col("l_time_start")), cell("l", F.col("l_time_end")))))
+    on = on & (F.col("d_cell") == F.col("l_cell")) & (cell("d", F.greatest("d_time_start", "l_time_start")) == F.col("d_cell"))
     for k in keys:
         on = on & (F.col(f"d_{k}") == F.col(f"l_{k}"))
     on = on & (F.col("d_time_start") < F.col("l_time_end")) & (F.col("l_time_start") < F.col("d_time_end"))
@@ -51,100 +72,71 @@ def unmatched(rows: DataFrame, matched: DataFrame, key: str) -> DataFrame:
     return rows.join(matched.select(key).distinct(), key, "left_anti")
 
 
-def _components(edges_of: list) -> list[list]:
-    """Edges split into connected parts."""
-    parent: dict = {}
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for e in edges_of:
-        a, b = (0, e["d"]), (1, e["l"])
-        parent.setdefault(a, a)
-        parent.setdefault(b, b)
-        parent[root(a)] = root(b)
-    parts: dict = {}
-    for e in edges_of:
-        parts.setdefault(root((0, e["d"])), []).append(e)
-    return list(parts.values())
+def best_assignment(dets: list[int], labs: list[int], ious: list[float]) -> list[int]:
+    """Places of the edges (dets[k], labs[k]) that are matched: as many as possible, of those the greatest total IoU.
 
-
-def best_assignment(edge_list: list) -> list[tuple]:
-    """Pairs (d, l, iou): as many as possible, and of those the greatest total IoU.
-
-    Edges are records with ``d, l, iou``. Successive shortest augmenting paths with
-    potentials, on each connected part; equal solutions are decided by the order of ids.
+    Shortest augmenting paths over a sparse graph, one detection after the other. A matched
+    edge is worth more than all IoUs together, leaving a detection alone nothing.
     """
-    out: list[tuple] = []
-    for part in _components(sorted(edge_list, key=lambda e: (e["d"], e["l"]))):
-        rows = sorted({e["d"] for e in part})
-        cols = sorted({e["l"] for e in part})
-        at = {d: i for i, d in enumerate(rows)}
-        col_at = {c: j for j, c in enumerate(cols)}
-        near: list[list[tuple[int, float]]] = [[] for _ in rows]
-        for e in part:
-            near[at[e["d"]]].append((col_at[e["l"]], e["iou"]))
-        of_col: list[int] = [-1] * len(cols)
-        of_row: list[int] = [-1] * len(rows)
+    rows, cols = sorted(set(dets)), sorted(set(labs))
+    row_at, col_at = {d: i for i, d in enumerate(rows)}, {c: j for j, c in enumerate(cols)}
+    worth = float(len(rows) + 1)
+    near: list[list[tuple[int, float]]] = [[(len(cols) + i, 0.0)] for i in range(len(rows))]  # its own way out
+    edge: dict[tuple[int, int], int] = {}
+    for k, (d, c, v) in enumerate(zip(dets, labs, ious)):
+        i, j = row_at[d], col_at[c]
+        edge[i, j] = k
+        near[i].append((j, -worth - v))
+    of_col = [-1] * (len(cols) + len(rows))
+    u, v = [0.0] * len(rows), [0.0] * len(of_col)
+    for s in range(len(rows)):
+        best: dict[int, float] = {}
+        came: dict[int, int] = {}
+        done: list[int] = []
+        seen: set[int] = set()
+        heap: list[tuple[float, int]] = []
+        i, low = s, 0.0
         while True:
-            # longest augmenting path by Bellman-Ford: parts are small and sparse
-            gain: list[float | None] = [0.0 if of_row[i] < 0 else None for i in range(len(rows))]
-            came: dict[int, int] = {}
-            best_col, best_gain = -1, None
-            for _ in range(len(rows) + 1):
-                moved = False
-                for i, g in enumerate(gain):
-                    if g is None:
-                        continue
-                    for j, w in near[i]:
-                        if of_row[i] == j:
-                            continue
-                        k = of_col[j]
-                        if k < 0:
-                            continue
-                        back = next(v for c, v in near[k] if c == j)
-                        if gain[k] is None or g + w - back > gain[k] + 1e-12:
-                            gain[k] = g + w - back
-                            came[k] = i
-                            moved = True
-                if not moved:
-                    break
-            start = -1
-            for i, g in enumerate(gain):
-                if g is None:
-                    continue
-                for j, w in near[i]:
-                    if of_col[j] < 0 and (best_gain is None or g + w > best_gain + 1e-12):
-                        best_gain, best_col, start = g + w, j, i
-            if best_gain is None:
+            for j, c in near[i]:
+                if j not in seen:
+                    way = low + c - u[i] - v[j]
+                    if j not in best or way < best[j]:
+                        best[j], came[j] = way, i
+                        heappush(heap, (way, j))
+            low, j = heappop(heap)
+            while j in seen:
+                low, j = heappop(heap)
+            seen.add(j)
+            if of_col[j] < 0:
                 break
-            i, j = start, best_col
-            while True:
-                old = of_row[i]
-                of_row[i], of_col[j] = j, i
-                if old < 0:
-                    break
-                i, j = came[i], old
-        weight = {(at[e["d"]], col_at[e["l"]]): e["iou"] for e in part}
-        out += [(rows[i], cols[j], weight[i, j]) for i, j in enumerate(of_row) if j >= 0]
-    return out
+            done.append(j)
+            i = of_col[j]
+        u[s] += low
+        for c in done:
+            u[of_col[c]] += low - best[c]
+            v[c] -= low - best[c]
+        before = {of_col[c]: c for c in done}
+        while True:
+            i = came[j]
+            of_col[j] = i
+            if i == s:
+                break
+            j = before[i]
+    return sorted(edge[i, j] for j, i in enumerate(of_col[: len(cols)]) if i >= 0)
 
 
-def greedy_assignment(edge_list: list) -> list[tuple]:
-    """Each detection in order of its id takes the best label left; the first one wins ties."""
-    by_det: dict = {}
-    for e in edge_list:
-        by_det.setdefault(e["d"], []).append(e)
+def greedy_assignment(dets: list[int], labs: list[int], ious: list[float]) -> list[int]:
+    """Each detection in its order takes the best label left; the first one wins ties."""
+    by_det: dict[int, list[int]] = {}
+    for k, d in enumerate(dets):
+        by_det.setdefault(d, []).append(k)
     taken, out = set(), []
     for d in sorted(by_det):
-        free = [e for e in by_det[d] if e["l"] not in taken]
+        free = [k for k in by_det[d] if labs[k] not in taken]
         if free:
-            e = min(free, key=lambda x: (-x["iou"], x["l"]))
-            taken.add(e["l"])
-            out.append((d, e["l"], e["iou"]))
+            k = min(free, key=lambda x: (-ious[x], labs[x]))
+            taken.add(labs[k])
+            out.append(k)
     return out
 
 
@@ -156,8 +148,6 @@ def _cluster(e: DataFrame, keys: list[str]) -> DataFrame:
     Parts that are still open after four rounds also take the part of their part's label,
     which doubles the distance each round, so long chains end soon too.
     """
-    from tonewright.session import cut
-
     state, n = cut(e.withColumn("part", F.col("label_id"))), 0
     while True:
         by_det = Window.partitionBy(*keys, "det_id")
@@ -172,43 +162,33 @@ def _cluster(e: DataFrame, keys: list[str]) -> DataFrame:
             state = cut(state.join(heads, [*keys, "part"]).drop("part").withColumnRenamed("_head", "part"))
 
 
-def one_to_one(e: DataFrame, keys: list[str], optimal: bool = True) -> DataFrame:
+def one_to_one(e: DataFrame, keys: list[str], optimal: bool = True, order: str = "det_id") -> DataFrame:
     """Matched edges ``keys, det_id, label_id, iou``: optimal (most pairs, then most IoU) or greedy.
 
     Edges alone at both ends are matched at once. The rest is cut into connected parts, and
     each part is solved on its own in batches of many parts per call, so no file or class is
-    ever solved, or gathered, as a whole.
+    ever solved, or gathered, as a whole. Greedy takes the detections in the order of the
+    column ``order``, then det_id, and of equally good labels the smaller id; ids may be of any type.
     """
     degree_d = F.count(F.lit(1)).over(Window.partitionBy(*keys, "det_id"))
     degree_l = F.count(F.lit(1)).over(Window.partitionBy(*keys, "label_id"))
-    marked = e.select(*keys, "det_id", "label_id", "iou").withColumn("_x", degree_d).withColumn("_y", degree_l)
+    marked = e.select(*keys, "det_id", "label_id", "iou", F.col(order).alias("_o")).withColumn("_x", degree_d).withColumn("_y", degree_l)
     alone = (F.col("_x") == 1) & (F.col("_y") == 1)
-    sure = marked.where(alone).drop("_x", "_y")
+    sure = marked.where(alone).drop("_x", "_y", "_o")
     rest = _cluster(marked.where(~alone).drop("_x", "_y"), keys)
     solve = best_assignment if optimal else greedy_assignment
 
-    @F.pandas_udf("array<struct<det_id:bigint,label_id:bigint,iou:double>>")
-    def solved(lists):
+    @F.pandas_udf("array<int>")
+    def solved(dets, labs, ious):
         import pandas as pd
 
-        return pd.Series([[{"det_id": d, "label_id": lb, "iou": v} for d, lb, v in solve(list(x))] for x in lists])
-
-    box = F.struct(F.col("det_id").alias("d"), F.col("label_id").alias("l"), "iou")
-    parts = rest.groupBy(*keys, "part").agg(F.collect_list(box).alias("_e"))
-    hard = parts.select(*keys, F.explode(solved("_e")).alias("_m")).select(*keys, "_m.det_id", "_m.label_id", "_m.iou")
-    return sure.unionByName(hard)
+        return pd.Series([solve(list(d), list(c), list(v)) for d, c, v in zip(dets, labs, ious)])
 
-
-def star_matches(e: DataFrame, keys: list[str]) -> DataFrame:
-    """Number of matches per key where each label meets at most one detection of the key.
-
-    True for songs of one class with IoU of at least 0.5 and gap 0 or more, if they were merged
-    per class and file: they are apart in time, so two of them can't both cover half of a label.
-    Codes that disagree with ids and files that share a stem break it, so it's checked on the edges.
-    """
-    if not e.groupBy(*keys, "label_id").agg(F.countDistinct("det_id").alias("_n")).where(F.col("_n") > 1).isEmpty():
-        raise ValueError("a label meets several detections of its key: solve the matching instead")
-    return e.groupBy(*keys).agg(F.countDistinct("det_id").alias("tp"))
+    # within a part detections and labels get their places, in order; only these reach the solver
+    parts = rest.groupBy(*keys, "part").agg(F.collect_list(F.struct(F.struct("_o", "det_id").alias("d"), F.col("label_id").alias("l"), "iou")).alias("_e"))
+    place = lambda f: F.transform(F.col(f"_e.{f}"), lambda x: F.array_position(F.array_sort(F.array_distinct(F.col(f"_e.{f}"))), x).cast("int"))
+    found = parts.withColumn("_k", solved(place("d"), place("l"), F.col("_e.iou"))).select(*keys, F.explode(F.transform("_k", lambda k: F.col("_e")[k])).alias("_m"))
+    return sure.unionByName(found.select(*keys, "_m.d.det_id", F.col("_m.l").alias("label_id"), "_m.iou"))
 
 
 def common_files(det: DataFrame, lab: DataFrame, key: str = "stem") -> tuple[DataFrame, DataFrame]:

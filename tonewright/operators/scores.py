@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonewright.functions.naming import stem
-from tonewright.operators.matching import edges, one_to_one, star_matches
-from tonewright.operators.songs import backfill_filename, reconstruct
+from tonewright.operators.matching import edges, one_to_one
+from tonewright.operators.songs import backfill_filename
+from tonewright.operators.sweep import at_each, per_threshold, song_versions
+from tonewright.session import cut
 
 MICRO, MACRO = "Overall_Micro", "Overall_Macro"
 
@@ -26,14 +30,6 @@ def rates(tp: Column, fp: Column, fn: Column, beta: float = 1.0) -> dict[str, Co
     return {"precision": p, "recall": r, "f_beta_score": f}
 
 
-def _counts(matches: DataFrame, det: DataFrame, lab: DataFrame, keys: list[str]) -> DataFrame:
-    """tp, fp, fn per key from numbers of matches, detections and labels."""
-    n_det = det.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_det"))
-    n_lab = lab.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_lab"))
-    all_ = n_det.join(n_lab, keys, "full_outer").join(matches, keys, "left").na.fill(0, ["n_det", "n_lab", "tp"])
-    return all_.select(*keys, F.col("tp").cast("long").alias("tp"), (F.col("n_det") - F.col("tp")).cast("long").alias("fp"), (F.col("n_lab") - F.col("tp")).cast("long").alias("fn"))
-
-
 def threshold_table(spark: SparkSession, thresholds: list[float]) -> DataFrame:
     return spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")
 
@@ -54,36 +50,27 @@ def score_rows(counts: DataFrame, thresholds: DataFrame, beta: float = 1.0) -> D
     return shown(classes).unionByName(shown(micro)).unionByName(shown(macro))
 
 
-def song_id(*parts: str) -> Column:
-    return F.xxhash64(*parts)
-
-
-def sweep_songs(det: DataFrame, thresholds: list[float], gap: float = 0.1) -> DataFrame:
-    """Songs of every threshold, merged per original species_id: ``threshold, stem`` and song columns."""
-    songs = reconstruct(backfill_filename(det), gap, thresholds=thresholds)
-    return songs.withColumn("stem", F.lower(stem(F.col("filename")))).withColumn(
-        "det_id", song_id("threshold", "filename", "species_id", "time_start")
-    )
-
-
-def sweep_counts(det: DataFrame, lab: DataFrame, thresholds: list[float], iou: float = 0.5, gap: float = 0.1, optimal: bool = True, one_class: str | None = None, star: bool = False) -> DataFrame:
+def sweep_counts(det: DataFrame, lab: DataFrame, thresholds: list[float], iou: float = 0.5, gap: float = 0.1, optimal: bool = True, one_class: str | None = None, file_key: Callable[[Column], Column] = stem) -> DataFrame:
     """``threshold, species, tp, fp, fn`` of songs against labels at every threshold.
 
-    Files pair by stem, whichever side has them. With ``one_class`` songs are still merged per
-    species_id, only the matching is blind to it. ``star`` counts songs instead of solving; that
-    is exact only if no label meets two songs of its class, else it's an error.
+    Files pair by ``file_key`` of their names on both sides, by default the stem (labels without
+    ``filename`` by their own ``stem``), whichever side has them. With ``one_class`` songs are still merged per species_id, only the matching is
+    blind to it. Greedy matching takes songs by file and start.
     """
-    spark = det.sparkSession
-    lab = lab.where(F.trim("species") != "")
-    songs = sweep_songs(det, thresholds, gap)
+    with_key = lambda df: (df.withColumn("stem", file_key(F.col("filename"))) if "filename" in df.columns else df).where(F.trim("species") != "")
+    songs, lab = with_key(cut(song_versions(backfill_filename(det), thresholds, gap))), with_key(lab)
     if one_class:
         songs, lab = (x.withColumn("species", single_class(F.col("species"), one_class)) for x in (songs, lab))
-    at_all = lab.crossJoin(F.broadcast(threshold_table(spark, thresholds)))  # one row per threshold of a given list
-    e = edges(songs, lab, ["stem", "species"], iou, keep=("threshold",))
+    grid = threshold_table(det.sparkSession, thresholds)
+    n_det = per_threshold(songs, thresholds, "species", n_det=F.lit(1))
+    n_lab = lab.groupBy("species").agg(F.count(F.lit(1)).alias("n_lab")).crossJoin(F.broadcast(grid))  # classes by given thresholds
     keys = ["threshold", "stem", "species"]
-    tp = star_matches(e, keys) if star else one_to_one(e, keys, optimal).groupBy(*keys).agg(F.count(F.lit(1)).alias("tp"))
-    per_class = tp.groupBy("threshold", "species").agg(F.sum("tp").alias("tp"))
-    return _counts(per_class, songs.where(F.trim("species") != ""), at_all, ["threshold", "species"])
+    listed = songs.withColumn("place", F.struct("filename", "time_start"))
+    e = at_each(edges(listed, lab, ["stem", "species"], iou, keep=("lo", "hi", "place")), thresholds)
+    tp = one_to_one(e, keys, optimal, "place").groupBy("threshold", "species").agg(F.count(F.lit(1)).alias("tp"))
+    both = ["threshold", "species"]
+    all_ = n_det.join(n_lab, both, "full_outer").join(tp, both, "left").na.fill(0, ["n_det", "n_lab", "tp"])
+    return all_.select(*both, F.col("tp").cast("long").alias("tp"), (F.col("n_det") - F.col("tp")).cast("long").alias("fp"), (F.col("n_lab") - F.col("tp")).cast("long").alias("fn"))
 
 
 def best_thresholds(rows: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonewright.functions.naming import basename, blank_to_null
-from tonewright.operators.intervals import opened, pieces, shard_of
+from tonewright.functions.naming import basename, blank_to_null, finite
+from tonewright.operators.intervals import opened, pieces
 
 SINGLE_FILE = "__single_file__"
+NO_CLASS = -(2**31)  # in place of a missing species_id
 
 
 def confident(df: DataFrame, least: float) -> DataFrame:
@@ -29,28 +30,24 @@ def backfill_filename(df: DataFrame, audio_file: Column | None = None) -> DataFr
     return df.withColumn("filename", F.coalesce(*names, F.lit("unknown")))
 
 
-def reconstruct(df: DataFrame, gap: float = 0.1, shard_seconds: float = 600.0, thresholds: list[float] | None = None) -> DataFrame:
+def reconstruct(df: DataFrame, gap: float = 0.1, shard_seconds: float = 600.0, with_id: bool = False) -> DataFrame:
     """Songs: detections of one file and species_id whose gap to the furthest end so far is at most ``gap``.
 
-    Columns are ``[threshold,] filename, species, species_id, time_start, time_end,
-    avg_confidence, max_confidence, detections_merged, freq_low_hz, freq_high_hz``. ``species`` is
-    that of the first row by time_start, then det_id. With ``thresholds`` the rows that reach
-    each of them are merged on their own; rows are multiplied only after they were shuffled
-    to their shards. A missing file name groups its rows as
-    one file and stays missing; rows without a start or end don't count. Works in time shards,
-    so that a recording of any size is merged by many tasks.
+    Columns are ``filename, species, species_id, time_start, time_end, avg_confidence,
+    max_confidence, detections_merged, freq_low_hz, freq_high_hz``. ``species`` is that of the
+    first row by time_start, then det_id; ``with_id`` adds that row's det_id, which names the
+    song. A missing file name groups its rows as one file and stays missing; rows without a
+    finite start or end don't count. Works in time shards, so that a recording of any size is
+    merged by many tasks.
     """
-    more_keys = [] if thresholds is None else ["threshold"]
-    keys = [*more_keys, "_file", "species_id"]
+    keys = ["_file", "species_id"]
     rows = df.select(
         F.coalesce(blank_to_null(F.col("filename")), F.lit(SINGLE_FILE)).alias("_file"),
-        F.coalesce(F.col("species_id"), F.lit(-(2**31))).alias("species_id"),
-        F.col("time_start").alias("_s"),
-        F.col("time_end").alias("_e"),
+        F.coalesce(F.col("species_id"), F.lit(NO_CLASS)).alias("species_id"),
+        finite(F.col("time_start")).alias("_s"),
+        finite(F.col("time_end")).alias("_e"),
         "det_id", "species", "confidence", "freq_low_hz", "freq_high_hz",
-    ).where(F.col("_s").isNotNull() & F.col("_e").isNotNull() & ~F.isnan("_s") & ~F.isnan("_e"))
-    if thresholds is not None:
-        rows = at_thresholds(rows.withColumn("_shard", shard_of(shard_seconds)).repartition("_file", "species_id", "_shard"), thresholds)
+    ).where(F.col("_s").isNotNull() & F.col("_e").isNotNull())
     first = F.min(F.struct("_s", "det_id", "species"))
     carry = (
         first.alias("_first"), F.sum("confidence").alias("_sum"), F.count("confidence").alias("_with"), F.max("confidence").alias("_max"),
@@ -62,19 +59,19 @@ def reconstruct(df: DataFrame, gap: float = 0.1, shard_seconds: float = 600.0, t
         F.max("_max").alias("max_confidence"), F.sum("_rows").alias("detections_merged"), F.min("_low").alias("freq_low_hz"), F.max("_high").alias("freq_high_hz"),
     )
     return merged.select(
-        *more_keys,
+        *[F.col("_first.det_id").alias("det_id")] * with_id,
         F.when(F.col("_file") != SINGLE_FILE, F.col("_file")).alias("filename"),
         F.col("_first.species").alias("species"),
-        F.when(F.col("species_id") != -(2**31), F.col("species_id")).alias("species_id"),
+        F.when(F.col("species_id") != NO_CLASS, F.col("species_id")).alias("species_id"),
         F.col("_song._s").alias("time_start"), "time_end",
         F.try_divide("_sum", "_with").alias("avg_confidence"),
         "max_confidence", "detections_merged", "freq_low_hz", "freq_high_hz",
     )
 
 
-def filter_then_merge(df: DataFrame, least: float, gap: float = 0.1) -> DataFrame:
+def filter_then_merge(df: DataFrame, least: float, gap: float = 0.1, with_id: bool = False) -> DataFrame:
     """Confidence filter on the raw rows, then merging; the order matters."""
-    return reconstruct(backfill_filename(confident(df, least)), gap)
+    return reconstruct(backfill_filename(confident(df, least)), gap, with_id=with_id)
 
 
 def at_thresholds(df: DataFrame, thresholds: list[float]) -> DataFrame:
@@ -100,45 +97,48 @@ def threshold_grid(least: float = 0.0, most: float = 1.0, step: float = 0.01) ->
 
 def suppress(df: DataFrame, iou: float = 0.7) -> DataFrame:
     """Non-maximum suppression in time per file and species_id: boxes by falling confidence, dropped
-    if their IoU with a kept one is above ``iou``. Ties go to the smaller det_id.
+    if their IoU with a kept one is above ``iou``. Ties go to the smaller det_id (of any type).
 
     Boxes that share no time can't suppress each other, so each cluster of overlapping boxes
-    is decided on its own: clusters come from the sharded interval merge and are bounded by
-    how many boxes overlap, not by the size of a file.
+    is decided on its own; clusters come from the sharded interval merge. Rows without a
+    finite start or end, or with an end before the start, share no time with others and stay.
     """
-    keyed = df.withColumn("_file", F.coalesce(F.col("filename"), F.lit(SINGLE_FILE))).withColumn("_sid", F.coalesce(F.col("species_id"), F.lit(-(2**31))))
+    s, e = finite(F.col("time_start")), finite(F.col("time_end"))
+    usable = F.coalesce(e >= s, F.lit(False))
+    rows = df.where(usable).select(
+        F.coalesce(F.col("filename"), F.lit(SINGLE_FILE)).alias("_file"), F.coalesce(F.col("species_id"), F.lit(NO_CLASS)).alias("_sid"),
+        s.alias("_s"), e.alias("_e"), "det_id", F.nanvl(F.coalesce(F.col("confidence"), F.lit(0.0)), F.lit(0.0)).alias("_c"),
+    )
     keys = ["_file", "_sid"]
-    rows = keyed.select(*keys, F.col("time_start").alias("_s"), F.col("time_end").alias("_e"), F.struct("det_id", "confidence").alias("_r")).where(
-        F.col("_s").isNotNull() & (F.col("_e") >= F.col("_s"))
-    )
-    box = F.struct(F.col("_s").alias("s"), F.col("_e").alias("e"), F.col("_r.det_id").alias("id"), F.coalesce(F.col("_r.confidence"), F.lit(0.0)).alias("c"))
+    # in the order of decision
+    box = F.struct((-F.col("_c")).alias("c"), F.col("det_id").alias("id"), F.col("_s").alias("s"), F.col("_e").alias("e"))
     parts = pieces(rows, keys, 0.0, 600.0, ("_e",), (F.collect_list(box).alias("_boxes"),))
-    clusters = parts.groupBy(*keys, opened().alias("_period")).agg(F.flatten(F.collect_list("_boxes")).alias("_boxes"))
+    clusters = parts.groupBy(*keys, opened().alias("_period")).agg(F.sort_array(F.flatten(F.collect_list("_boxes"))).alias("_boxes"))
 
-    @F.pandas_udf("array<bigint>")
-    def kept(lists):
+    @F.pandas_udf("array<int>")
+    def kept(starts, ends):
         import numpy as np
         import pandas as pd
 
         out = []
-        for boxes in lists:
-            order = sorted(boxes, key=lambda b: (-b["c"], b["id"]))
-            s, e, stay = np.empty(len(order)), np.empty(len(order)), []
-            for b in order:
-                k = len(stay)
-                inter = np.minimum(e[:k], b["e"]) - np.maximum(s[:k], b["s"])
-                union = (e[:k] - s[:k]) + (b["e"] - b["s"]) - inter
+        for first, last in zip(starts, ends):
+            s, e, n = np.empty(len(first)), np.empty(len(first)), []
+            for i, (a, b) in enumerate(zip(first, last)):
+                k = len(n)
+                inter = np.minimum(e[:k], b) - np.maximum(s[:k], a)
+                union = (e[:k] - s[:k]) + (b - a) - inter
                 if not ((inter > 0) & (inter > iou * union)).any():
-                    s[k], e[k] = b["s"], b["e"]
-                    stay.append(b["id"])
-            out.append(stay)
+                    s[k], e[k] = a, b
+                    n.append(i)
+            out.append(n)
         return pd.Series(out)
 
     single = F.size("_boxes") == 1
+    solved = clusters.where(~single).withColumn("_kept", kept(F.col("_boxes.s"), F.col("_boxes.e")))
     ids = clusters.where(single).select(F.col("_boxes")[0]["id"].alias("det_id")).unionByName(
-        clusters.where(~single).select(F.explode(kept("_boxes")).alias("det_id"))
+        solved.select(F.explode(F.transform("_kept", lambda i: F.col("_boxes")[i]["id"])).alias("det_id"))
     )
-    return df.join(ids, "det_id", "left_semi")
+    return df.where(usable).join(ids, "det_id", "left_semi").unionByName(df.where(~usable))
 
 
 def merge_detections(df: DataFrame, mode: str = "reconstruct", gap: float = 0.1, iou: float = 0.7) -> DataFrame:

@@ -42,6 +42,13 @@ def merges(sheet: DataFrame) -> DataFrame:
     return rows.groupBy("scientific_name").agg(F.array_join(F.array_sort(F.collect_set("code")), ", ").alias("codes"), F.countDistinct("code").alias("n")).where(F.col("n") > 1)
 
 
+def warnings(sheet: DataFrame, n: int = 30) -> DataFrame:
+    """The first ``n`` codes with several names and the first ``n`` names with several codes: ``kind, what, detail``."""
+    split = splits(sheet).orderBy("code").limit(n).select(F.lit("split").alias("kind"), F.col("code").alias("what"), F.col("names").cast("string").alias("detail"))
+    merged = merges(sheet).orderBy("scientific_name").limit(n).select(F.lit("merge").alias("kind"), F.col("scientific_name").alias("what"), F.col("codes").alias("detail"))
+    return split.unionByName(merged)
+
+
 def species_mapping(dim: DataFrame, name: str) -> DataFrame:
     """The rows of one mapping with split names and colour; an unknown name is an error that lists the known ones."""
     rows = dim.where(F.col("mapping") == name)

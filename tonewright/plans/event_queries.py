@@ -2,39 +2,47 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonewright.functions import geometry as geo
 from tonewright.functions import text as txt
-from tonewright.functions.naming import basename, recording, species_code, stem
+from tonewright.functions.naming import basename, finite, recording, species_code, stem
 from tonewright.operators import clips, confusion, scores, songs, summaries, taxonomy
 from tonewright.operators.matching import common_files, edges, mutual_best, one_to_one, unmatched
+from tonewright.operators.sweep import per_threshold, song_versions
+from tonewright.plans.matching_sql import sql_greedy, sql_optimal, sql_suppressed
 from tonewright.plans.tables import SQL_CODE, table
 from tonewright.session import cut
 from tonewright.sources import writers
 from tonewright.streaming.songs import stream_songs
 
 LEAST, GAP, IOU = 0.2, 0.1, 0.25
-COARSE = songs.threshold_grid(0.0, 1.0, 0.05)  # of the comparison SQL only
 FINE = songs.threshold_grid()
 
 
+def _file_key(filename):
+    """Stem in lower case: these tables name one file in several ways."""
+    return recording(filename, F.lit(None).cast("string"))
+
+
 def _det(spark: SparkSession, d: str) -> DataFrame:
     """Detections with a tidy species, a file name and its stem, as raw rows of the pipeline."""
     rows = songs.backfill_filename(table(spark, d, "detections"))
-    return rows.withColumn("species", species_code(F.col("species"))).withColumn("stem", recording(F.col("filename"), F.lit(None).cast("string")))
+    return rows.withColumn("species", species_code(F.col("species"))).withColumn("stem", _file_key(F.col("filename")))
 
 
 def _lab(spark: SparkSession, d: str) -> DataFrame:
     """Labels with a tidy species and stem; labels without species are left out."""
     rows = table(spark, d, "labels").withColumn("species", species_code(F.col("species"))).where(F.col("species").isNotNull())
-    return rows.withColumn("stem", recording(F.col("filename"), F.lit(None).cast("string")))
+    return rows.withColumn("stem", _file_key(F.col("filename")))
 
 
 def _songs(spark: SparkSession, d: str) -> DataFrame:
-    s = songs.filter_then_merge(_det(spark, d), LEAST, GAP)
-    return s.withColumn("stem", recording(F.col("filename"), F.lit(None).cast("string"))).withColumn("det_id", F.xxhash64("filename", "species_id", "time_start"))
+    """Songs with their stem; ``det_id`` is that of their first row."""
+    return songs.filter_then_merge(_det(spark, d), LEAST, GAP, with_id=True).withColumn("stem", _file_key(F.col("filename")))
 
 
 _BASE_NAME = r"nullif(regexp_extract(regexp_replace({}, '[/\\]+$', ''), '([^/\\]*)$', 1), '')"
@@ -51,7 +59,7 @@ def _sql_songs(source: str, more: str = "") -> str:
     return f"""m AS (SELECT *, max(time_end) OVER (PARTITION BY {key} ORDER BY time_start, det_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
   FROM {source} WHERE time_start IS NOT NULL AND time_end IS NOT NULL),
 k AS (SELECT *, sum(CASE WHEN time_start - before <= {GAP}::DOUBLE THEN 0 ELSE 1 END) OVER (PARTITION BY {key} ORDER BY time_start, det_id ROWS UNBOUNDED PRECEDING) AS song FROM m),
-songs AS (SELECT {key}, song, arg_min(coalesce(species, '~'), (time_start, det_id)) AS sp, min(time_start) AS time_start, max(time_end) AS time_end,
+songs AS (SELECT {key}, song, arg_min(det_id, (time_start, det_id)) AS det_id, arg_min(coalesce(species, '~'), (time_start, det_id)) AS sp, min(time_start) AS time_start, max(time_end) AS time_end,
   avg(confidence) AS avg_confidence, max(confidence) AS max_confidence, count(*) AS detections_merged, min(freq_low_hz) AS freq_low_hz, max(freq_high_hz) AS freq_high_hz
   FROM k GROUP BY {key}, song)"""
 
@@ -183,16 +191,19 @@ def first_ten_minutes(spark, d):
     return within(table(spark, d, "detections")).select("det_id", "clip_start", "clip_end")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_DET}, {_KEPT}, rw AS (SELECT det_id, (filename, species_id) AS k, time_start AS s, time_end AS e, coalesce(confidence, 0) AS c
+  FROM kept WHERE isfinite(time_start) AND isfinite(time_end) AND time_end >= time_start),
+{sql_suppressed('rw', 0.7)}
+SELECT det_id, filename, species_id, time_start, time_end FROM kept WHERE det_id IN (SELECT det_id FROM left_) OR det_id NOT IN (SELECT det_id FROM rw)""")
 def nms(spark, d):
-    """Detections left by suppression in time; greedy, so checked against brute force in tests."""
+    """Detections left by suppression in time."""
     return songs.merge_detections(songs.confident(_det(spark, d), LEAST), "nms", iou=0.7).select("det_id", "filename", "species_id", "time_start", "time_end")
 
 
 # --- interval joins and matching ---------------------------------------------------------
 
 _IOU2 = """(SELECT *, w * h / nullif((se - ss) * (sh - sl) + (le - ls) * (lh - ll) - w * h, 0) AS iou FROM (
-  SELECT s.stem, s.species AS s_species, l.species AS l_species, s.filename, s.species_id, s.time_start AS ss, s.time_end AS se, s.freq_low_hz AS sl, s.freq_high_hz AS sh, l.label_id,
+  SELECT s.stem, s.species AS s_species, l.species AS l_species, s.det_id, s.filename, s.species_id, s.time_start AS ss, s.time_end AS se, s.freq_low_hz AS sl, s.freq_high_hz AS sh, l.label_id,
     l.time_start AS ls, l.time_end AS le, l.freq_low_hz AS ll, l.freq_high_hz AS lh,
     least(s.time_end, l.time_end) - greatest(s.time_start, l.time_start) AS w, greatest(0, least(s.freq_high_hz, l.freq_high_hz) - greatest(s.freq_low_hz, l.freq_low_hz)) AS h
   FROM song s JOIN lab l ON s.stem = l.stem AND s.time_start < l.time_end AND l.time_start < s.time_end AND s.freq_low_hz < l.freq_high_hz AND l.freq_low_hz < s.freq_high_hz))"""
@@ -251,26 +262,38 @@ def unmatched_labels_anti(spark, d):
     return unmatched(_lab(spark, d), _edges(spark, d), "label_id").select("label_id", "species")
 
 
-@query()
+_CLASS_EDGES = f"{_EDGES}, ge AS (SELECT (stem, s_species) AS g, stem, s_species, (filename, ss) AS o, det_id AS d, label_id AS l, round(iou, 9) AS iou FROM e WHERE s_species = l_species)".replace("WITH ", "WITH RECURSIVE ", 1)
+_FILE_EDGES = f"{_EDGES}, ge AS (SELECT stem AS g, (filename, ss) AS o, det_id AS d, label_id AS l, round(iou, 9) AS iou FROM e)".replace("WITH ", "WITH RECURSIVE ", 1)
+_PAIRS = "d AS det_id, l AS label_id, round(iou, 6) AS iou"
+
+
+def _matched(spark, d, keys, optimal=True):
+    s, lb = _songs(spark, d), _lab(spark, d)
+    e = edges(s.withColumn("place", F.struct("filename", "time_start")), lb, list(keys), IOU, keep=("place",)).withColumn("iou", F.round("iou", 9))
+    return one_to_one(e, list(keys), optimal, "place").withColumn("iou", F.round("iou", 6))
+
+
+@query(f"{_CLASS_EDGES}, {sql_optimal('ge')} SELECT g[1] AS stem, g[2] AS species, {_PAIRS} FROM mt".replace("g[1]", "struct_extract_at(g, 1)").replace("g[2]", "struct_extract_at(g, 2)"))
 def optimal_match_sweep(spark, d):
     """Most pairs, then most IoU, per file and class."""
-    return one_to_one(_edges(spark, d), ["stem", "species"])
+    return _matched(spark, d, ("stem", "species"))
 
 
-@query()
+@query(f"{_FILE_EDGES}, {sql_optimal('ge')} SELECT g AS stem, {_PAIRS} FROM mt")
 def optimal_match_confusion(spark, d):
     """The same per file, whatever the classes."""
-    return one_to_one(_edges(spark, d, keys=("stem",)), ["stem"])
+    return _matched(spark, d, ("stem",))
 
 
-@query()
+@query(f"{_CLASS_EDGES}, {sql_greedy('ge')} SELECT struct_extract_at(g, 1) AS stem, struct_extract_at(g, 2) AS species, {_PAIRS} FROM mt")
 def greedy_match(spark, d):
-    return one_to_one(_edges(spark, d), ["stem", "species"], optimal=False)
+    """Songs in order of file and start take the best label left."""
+    return _matched(spark, d, ("stem", "species"), optimal=False)
 
 
-@query()
+@query(f"{_FILE_EDGES}, {sql_greedy('ge')} SELECT g AS stem, {_PAIRS} FROM mt")
 def greedy_match_confusion(spark, d):
-    return one_to_one(_edges(spark, d, keys=("stem",)), ["stem"], optimal=False)
+    return _matched(spark, d, ("stem",), optimal=False)
 
 
 # --- threshold sweep ---------------------------------------------------------------------
@@ -291,20 +314,25 @@ def threshold_fanout(spark, d):
 
 @query(f"WITH {_DET}, {_fan(FINE)}, {_sql_songs('fan', 'threshold, ')} SELECT threshold, count(*) AS n, sum(detections_merged)::BIGINT AS merged FROM songs GROUP BY ALL")
 def songs_per_threshold(spark, d):
-    return scores.sweep_songs(_det(spark, d), FINE, GAP).groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.sum("detections_merged").alias("merged"))
-
-
-_STAR = f"""WITH {_DET}, {_LAB}, {_fan(COARSE)}, {_sql_songs('fan', 'threshold, ')},
-song AS (SELECT *, nullif(sp, '~') AS species, {_STEM.format('filename')} AS stem FROM songs),
-e AS (SELECT DISTINCT s.threshold, s.species, s.stem, s.filename, s.species_id, s.time_start FROM song s JOIN lab l
-  ON s.stem = l.stem AND s.species = l.species AND s.time_start < l.time_end AND l.time_start < s.time_end AND s.freq_low_hz < l.freq_high_hz AND l.freq_low_hz < s.freq_high_hz
-  WHERE least(s.freq_high_hz, l.freq_high_hz) > greatest(s.freq_low_hz, l.freq_low_hz)
-    AND (least(s.time_end, l.time_end) - greatest(s.time_start, l.time_start)) * (least(s.freq_high_hz, l.freq_high_hz) - greatest(s.freq_low_hz, l.freq_low_hz)) >=
-    0.5::DOUBLE * ((s.time_end - s.time_start) * (s.freq_high_hz - s.freq_low_hz) + (l.time_end - l.time_start) * (l.freq_high_hz - l.freq_low_hz)
-    - (least(s.time_end, l.time_end) - greatest(s.time_start, l.time_start)) * (least(s.freq_high_hz, l.freq_high_hz) - greatest(s.freq_low_hz, l.freq_low_hz)))),
-tp AS (SELECT threshold, species, count(*) AS tp FROM e GROUP BY ALL),
-nd AS (SELECT threshold, species, count(*) AS n_det FROM song WHERE trim(species) <> '' GROUP BY ALL),
-nl AS (SELECT threshold, species, count(*) AS n_lab FROM lab, {_values(COARSE)} GROUP BY ALL),
+    return per_threshold(song_versions(_det(spark, d), FINE, GAP), FINE, n=F.lit(1), merged=F.col("detections_merged"))
+
+
+def _sql_counts(iou: float, optimal: bool = True, one_class: bool = False) -> str:
+    """CTEs up to c (threshold, species, tp, fp, fn) over solved matches at all thresholds."""
+    kind = "'bird'" if one_class else "nullif(sp, '~')"
+    ge = f"""ge AS (SELECT (threshold, stem, species) AS g, (filename, ss) AS o, det_id AS d, label_id AS l, iou FROM (
+  SELECT *, w * h / nullif((se - ss) * (sh - sl) + (le - ls) * (lh - ll) - w * h, 0) AS iou FROM (
+  SELECT s.threshold, s.stem, s.species, s.det_id, s.filename, s.time_start AS ss, s.time_end AS se, s.freq_low_hz AS sl, s.freq_high_hz AS sh, l.label_id,
+    l.time_start AS ls, l.time_end AS le, l.freq_low_hz AS ll, l.freq_high_hz AS lh,
+    least(s.time_end, l.time_end) - greatest(s.time_start, l.time_start) AS w, greatest(0, least(s.freq_high_hz, l.freq_high_hz) - greatest(s.freq_low_hz, l.freq_low_hz)) AS h
+  FROM song s JOIN labs l ON s.stem = l.stem AND s.species = l.species AND s.time_start < l.time_end AND l.time_start < s.time_end AND s.freq_low_hz < l.freq_high_hz AND l.freq_low_hz < s.freq_high_hz))
+  WHERE iou >= {iou}::DOUBLE AND iou > 0)"""
+    return f"""WITH RECURSIVE {_DET}, {_LAB}, labs AS (SELECT * REPLACE ({"'bird'" if one_class else 'species'} AS species) FROM lab), {_fan(FINE)}, {_sql_songs('fan', 'threshold, ')},
+song AS (SELECT *, {kind} AS species, {_STEM.format('filename')} AS stem FROM songs WHERE sp <> '~'),
+{ge}, {(sql_optimal if optimal else sql_greedy)('ge')},
+tp AS (SELECT g.threshold, g.species, count(*) AS tp FROM (SELECT struct_pack(threshold := struct_extract_at(g, 1), species := struct_extract_at(g, 3)) AS g FROM mt) GROUP BY ALL),
+nd AS (SELECT threshold, species, count(*) AS n_det FROM song GROUP BY ALL),
+nl AS (SELECT threshold, species, count(*) AS n_lab FROM labs, {_values(FINE)} GROUP BY ALL),
 c AS (SELECT threshold, species, coalesce(tp, 0) AS tp, coalesce(n_det, 0) - coalesce(tp, 0) AS fp, coalesce(n_lab, 0) - coalesce(tp, 0) AS fn
   FROM nd FULL JOIN nl USING (threshold, species) LEFT JOIN tp USING (threshold, species))"""
 
@@ -314,23 +342,24 @@ def _f_sql(tp: str, fp: str, fn: str) -> str:
     return f"{p} AS p, {r} AS r, CASE WHEN {p} IS NULL OR {r} IS NULL THEN NULL WHEN {p} = 0 AND {r} = 0 THEN 0 ELSE 2 * {p} * {r} / ({p} + {r}) END AS f"
 
 
-_ROWS = f"""{_STAR}, cls AS (SELECT *, {_f_sql('tp', 'fp', 'fn')} FROM c),
+def _sql_rows(iou: float, optimal: bool = True, one_class: bool = False) -> str:
+    return f"""{_sql_counts(iou, optimal, one_class)}, cls AS (SELECT *, {_f_sql('tp', 'fp', 'fn')} FROM c),
 mic AS (SELECT threshold, 'Overall_Micro' AS species, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM c GROUP BY threshold),
 rows_ AS (SELECT species, threshold AS confidence_threshold, tp, fp, fn, p, r, f FROM cls
 UNION ALL SELECT species, threshold, tp, fp, fn, p, r, f FROM (SELECT *, {_f_sql('tp', 'fp', 'fn')} FROM mic)
 UNION ALL SELECT 'Overall_Macro', threshold, NULL, NULL, NULL, avg(p), avg(r), avg(f) FROM cls GROUP BY threshold)"""
 
 
-def _counts(spark, d):
-    """Counts over solved matches at all 101 thresholds.
+_ROWS = _sql_rows(0.5)
 
-    The SQL has 21 of them, and counts songs with an edge, which are more wherever several songs of a class meet one label.
-    """
-    return scores.sweep_counts(_det(spark, d), _lab(spark, d), FINE, 0.5, GAP)
 
+def _counts(spark, d, iou=0.5, **how):
+    """Counts over solved matches at all 101 thresholds."""
+    return scores.sweep_counts(_det(spark, d), _lab(spark, d), FINE, iou, GAP, file_key=_file_key, **how)
 
-def _score_rows(spark, d):
-    return scores.score_rows(_counts(spark, d), scores.threshold_table(spark, FINE))
+
+def _score_rows(spark, d, iou=0.5, **how):
+    return scores.score_rows(_counts(spark, d, iou, **how), scores.threshold_table(spark, FINE))
 
 
 _RATES = "round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f_beta_score"
@@ -340,7 +369,7 @@ def _short(df):
     return df.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f_beta_score")})
 
 
-@query(f"{_STAR} SELECT threshold, species, tp, fp, fn FROM c")
+@query(f"{_sql_counts(0.5)} SELECT threshold, species, tp, fp, fn FROM c")
 def tp_fp_fn(spark, d):
     return _counts(spark, d)
 
@@ -373,7 +402,7 @@ def bottom_species(spark, d):
     return scores.bottom_classes(_best_rows(spark, d), 5)
 
 
-@query(f"""{_ROWS} SELECT species, {', '.join(f'''max(CASE WHEN confidence_threshold = {t}::DOUBLE THEN round(f, 6) END) AS "{t:.2f}"''' for t in COARSE)}
+@query(f"""{_ROWS} SELECT species, {', '.join(f'''max(CASE WHEN confidence_threshold = {t}::DOUBLE THEN round(f, 6) END) AS "{t:.2f}"''' for t in FINE)}
 FROM rows_ WHERE species NOT IN ('Overall_Micro', 'Overall_Macro') GROUP BY species""")
 def f_pivot(spark, d):
     return scores.f_pivot(_best_rows(spark, d), FINE)
@@ -384,47 +413,47 @@ def plot_frame(spark, d):
     return scores.plot_frame(_best_rows(spark, d)).select("species", "confidence_threshold", "precision", "recall", "f_beta_score")
 
 
-@query()
+_ALL_ROWS = f"SELECT species, confidence_threshold, tp, fp, fn, {_RATES} FROM rows_"
+
+
+@query(f"{_sql_rows(IOU)} {_ALL_ROWS}")
 def sweep_optimal(spark, d):
-    """Score rows with solved matching at IoU 0.25, whatever the preconditions of counting."""
-    c = scores.sweep_counts(_det(spark, d), _lab(spark, d), FINE, IOU, GAP)
-    return _short(scores.score_rows(c, scores.threshold_table(spark, FINE)))
+    """Score rows at IoU 0.25."""
+    return _short(_score_rows(spark, d, IOU))
 
 
-@query()
+@query(f"{_sql_rows(IOU, one_class=True)} {_ALL_ROWS}")
 def sweep_single_class(spark, d):
-    c = scores.sweep_counts(_det(spark, d), _lab(spark, d), FINE, IOU, GAP, one_class="bird")
-    return _short(scores.score_rows(c, scores.threshold_table(spark, FINE)))
+    return _short(_score_rows(spark, d, IOU, one_class="bird"))
 
 
-@query()
+@query(f"{_sql_rows(IOU, optimal=False)} {_ALL_ROWS}")
 def sweep_greedy(spark, d):
-    c = scores.sweep_counts(_det(spark, d), _lab(spark, d), FINE, IOU, GAP, optimal=False)
-    return _short(scores.score_rows(c, scores.threshold_table(spark, FINE)))
+    return _short(_score_rows(spark, d, IOU, optimal=False))
 
 
 # --- confusion ---------------------------------------------------------------------------
 
-_CELLS = f"""{_EDGES}, r AS (SELECT *, round(iou, 9) AS q FROM e),
-b AS (SELECT *, row_number() OVER (PARTITION BY filename, species_id, ss ORDER BY q DESC, label_id) AS x,
-  row_number() OVER (PARTITION BY label_id ORDER BY q DESC, ss, filename, species_id) AS y FROM r),
-m AS (SELECT * FROM b WHERE x = 1 AND y = 1),
-cells AS (SELECT pred, true_, count(*) AS n FROM (
-  SELECT s_species AS pred, l_species AS true_ FROM m WHERE s_species IS NOT NULL
-  UNION ALL SELECT s.species, 'background' FROM song s WHERE s.species IS NOT NULL AND NOT EXISTS (
-    SELECT 1 FROM m WHERE m.filename = s.filename AND m.species_id IS NOT DISTINCT FROM s.species_id AND m.ss = s.time_start)
-  UNION ALL SELECT 'background', species FROM lab WHERE label_id NOT IN (SELECT label_id FROM m)) GROUP BY ALL)""".replace("\nm AS (SELECT * FROM b", "\nmm AS (SELECT * FROM b").replace(" FROM m WHERE", " FROM mm AS m WHERE").replace("(SELECT label_id FROM m)", "(SELECT label_id FROM mm)")
+_COUNTED = """cells AS (SELECT pred, true_, count(*) AS n FROM (
+  SELECT s.species AS pred, l.species AS true_ FROM mt JOIN song s ON s.det_id = mt.d JOIN lab l ON l.label_id = mt.l WHERE s.species IS NOT NULL
+  UNION ALL SELECT species, 'background' FROM song WHERE species IS NOT NULL AND det_id NOT IN (SELECT d FROM mt)
+  UNION ALL SELECT 'background', species FROM lab WHERE label_id NOT IN (SELECT l FROM mt)) GROUP BY ALL)"""
+_RAW_EDGES = f"{_EDGES}, ge AS (SELECT stem AS g, (filename, ss) AS o, det_id AS d, label_id AS l, iou FROM e)".replace("WITH ", "WITH RECURSIVE ", 1)
+_CELLS = f"{_RAW_EDGES}, {sql_optimal('ge')}, {_COUNTED}"
+_MUTUAL_CELLS = f"""{_EDGES}, r AS (SELECT *, round(iou, 9) AS q FROM e),
+b AS (SELECT *, row_number() OVER (PARTITION BY det_id ORDER BY q DESC, label_id) AS x, row_number() OVER (PARTITION BY label_id ORDER BY q DESC, ss, filename, species_id) AS y FROM r),
+mt AS (SELECT det_id AS d, label_id AS l FROM b WHERE x = 1 AND y = 1), {_COUNTED}"""
 
 
 def _cells(spark, d):
-    """Confusion cells over optimal matches per file, in all files; the SQL has those over mutual best pairs, which can be fewer."""
+    """Confusion cells over optimal matches per file, in all files."""
     s, lb = cut(_songs(spark, d)), _lab(spark, d)
     return confusion.confusion(s, lb, confusion.matches(s, lb, IOU))
 
 
-@query(f'{_CELLS} SELECT pred, true_ AS "true", n FROM cells')
+@query(f'{_MUTUAL_CELLS} SELECT pred, true_ AS "true", n FROM cells')
 def confusion_mutual_best(spark, d):
-    """Cells over mutual best pairs, which SQL can tell too; fewer pairs than can be matched."""
+    """Cells over mutual best pairs; fewer pairs than can be matched."""
     s, lb = _songs(spark, d), _lab(spark, d)
     e = _edges(spark, d, keys=("stem",)).withColumn("iou", F.round("iou", 9)).withColumn("_id", F.col("det_id")).withColumn("det_id", F.struct("song_start", "filename", "species_id"))
     m = mutual_best(e.withColumn("one", F.lit(1)), ["one"]).select(F.col("_id").alias("det_id"), "label_id")
@@ -441,17 +470,13 @@ def confusion_normalised(spark, d):
     return confusion.normalised(_cells(spark, d)).withColumn("share", F.round("share", 6))
 
 
-# of the comparison SQL only
-_WIDE = ["pazreq", "hozrek", "lozduv", "ruzstk", "background"]
-
-
-@query(f"""{_CELLS} SELECT pred, {', '.join(f"coalesce(sum(CASE WHEN true_ = '{c}' THEN n END), 0)::BIGINT AS {c}" for c in _WIDE)} FROM cells GROUP BY pred""")
+@query()
 def confusion_pivot(spark, d):
-    """All classes as columns; the SQL has just five of them."""
+    """All classes as columns; their names come from the data, so SQL has no fixed columns for them."""
     return confusion.square(_cells(spark, d))
 
 
-@query(f"""{_CELLS} SELECT concat('pred_', pred) AS pred, {', '.join(f"coalesce(sum(CASE WHEN true_ = '{c}' THEN n END), 0)::BIGINT AS true_{c}" for c in _WIDE)} FROM cells GROUP BY pred""")
+@query()
 def confusion_prefixed(spark, d):
     return confusion.prefixed(confusion.square(_cells(spark, d)))
 
@@ -602,7 +627,7 @@ def json_documents(spark, d):
 
 @query()
 def annotation_rows(spark, d):
-    return writers.annotation_rows(table(spark, d, "songs"), F.col("species"))
+    return writers.annotation_rows(table(spark, d, "songs"), F.col("species"), on=date(2031, 1, 1)).drop("number")
 
 
 @query("""WITH f AS (SELECT filename, max(clip_end) AS duration FROM detections WHERE filename IS NOT NULL GROUP BY 1)
@@ -619,7 +644,7 @@ SELECT a.det_id, b.det_id AS other_id, round((least(a.time_end, b.time_end) - gr
 FROM b a JOIN b ON a.filename = b.filename AND a.species_id = b.species_id AND a.det_id < b.det_id AND a.time_start < b.time_end AND b.time_start < a.time_end""")
 def nms_overlaps(spark, d):
     """IoU of boxes of a file and class that share time, the pairs that suppression looks at."""
-    rows = table(spark, d, "detections").where(F.col("time_end") >= F.col("time_start"))
+    rows = table(spark, d, "detections").where(finite(F.col("time_end")) >= finite(F.col("time_start")))
     cell = lambda c: F.floor(F.col(c) / 60.0)
     side = lambda p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in ("det_id", "filename", "species_id", "time_start", "time_end")]).withColumn(f"{p}_cell", F.explode(F.sequence(cell(f"{p}_time_start"), cell(f"{p}_time_end"))))
     a, b = side("a"), side("b")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,8 +12,12 @@ from pyspark.sql import DataFrame
 
 from tonewright.functions.geometry import HIGH_HZ, LOW_HZ
 
+# fixed values: settings under which models were trained
 RATE, N_FFT, HOP, MELS, FRAMES = 32000, 2048, 375, 256, 252
 GAIN, BIAS, POWER, TIME_CONSTANT = 0.75, 1.0, 0.35, 1.0
+LEFT_PAD = 16000  # half a second that is heard twice
+SCALE = 2.0**31
+SEGMENT_S, PAD_S, HOP_S, CLIP_S = 60, 2, 1.5, 3.0
 
 
 def decode_wav(data: bytes) -> tuple[np.ndarray, int]:
@@ -41,33 +45,66 @@ def _filters() -> np.ndarray:
 
 
 def _window() -> np.ndarray:
-    a = (0.21557895, 0.41663158, 0.277263158, 0.083578947, 0.006947368)  # the flat-top window
+    # fixed values: coefficients of the flat-top window
+    a = (0.21557895, 0.41663158, 0.277263158, 0.083578947, 0.006947368)
     n = 2 * np.pi * np.arange(N_FFT) / N_FFT
     return sum((-1) ** k * c * np.cos(k * n) for k, c in enumerate(a))
 
 
-def pcen(samples: np.ndarray) -> np.ndarray:
-    """Normalised mel energies, MELS by frames, of samples at RATE; the smoother starts warm."""
-    if len(samples) < N_FFT:
-        return np.empty((MELS, 0), np.float32)
-    frames = np.lib.stride_tricks.sliding_window_view(samples, N_FFT)[::HOP]
-    energy = _filters() @ (np.abs(np.fft.rfft(frames * _window(), axis=1)) ** 2).T
+def normalised(energy: np.ndarray) -> np.ndarray:
+    """Per-channel energy normalisation of mel energies, channels by frames; the smoother starts at 1."""
     t = TIME_CONSTANT * RATE / HOP
     s = (np.sqrt(1 + 4 * t * t) - 1) / (2 * t * t)
-    level = energy[:, 0].copy()
-    for k in range(min(100, energy.shape[1]) - 1, -1, -1):
-        level = (1 - s) * level + s * energy[:, k]
-    out = np.empty_like(energy)
+    level, smooth = np.ones(len(energy)), np.empty_like(energy)
     for k in range(energy.shape[1]):
         level = (1 - s) * level + s * energy[:, k]
-        out[:, k] = (energy[:, k] / (1e-6 + level) ** GAIN + BIAS) ** POWER - BIAS**POWER
-    return out.astype(np.float32)
+        smooth[:, k] = level
+    return BIAS**POWER * np.expm1(POWER * np.log1p(energy * np.exp(-GAIN * (np.log(1e-6) + np.log1p(smooth / 1e-6))) / BIAS))
+
+
+def pcen(samples: np.ndarray) -> np.ndarray:
+    """Normalised mel energies, MELS by frames, of samples between -1 and 1 at RATE.
+
+    The first half second is heard twice, and the smoother first runs over up to 100 frames
+    from the start, a quarter of all at most; both are cut off again.
+    """
+    x = np.concatenate([samples[:LEFT_PAD], samples]).astype(np.float64) * SCALE
+    if len(x) < N_FFT:
+        return np.empty((MELS, 0), np.float32)
+    frames = np.lib.stride_tricks.sliding_window_view(x, N_FFT)[::HOP]
+    energy = _filters() @ (np.abs(np.fft.rfft(frames * _window(), axis=1)) ** 2).T
+    warm = min(100, energy.shape[1] // 4)
+    out = normalised(np.concatenate([energy[:, :warm], energy], axis=1))
+    return out[:, warm + min(len(samples), LEFT_PAD) // HOP :].astype(np.float32)
 
 
-def clips_of(files: DataFrame) -> DataFrame:
-    """Clips of WAV files (``path, content``) with their normalised spectra, one minute at a time.
+def clips_of_samples(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Number and spectrum, MELS by FRAMES, of every clip of samples at RATE.
 
-    A file that can't be decoded gives one row with ``error`` set instead of failing the job.
+    Clips of 3 s start every 1.5 s and lie whole in the recording. Spectra are computed for
+    one minute at a time with 2 s around it; a clip belongs to the minute in which it starts.
+    A rest shorter than two transforms, or a clip whose frames don't reach, gives none.
+    """
+    n = int((len(x) / RATE - CLIP_S) // HOP_S) + 1 if len(x) >= CLIP_S * RATE else 0
+    size = SEGMENT_S * RATE
+    for first in range(0, len(x), size):
+        lo, hi = max(0, first - PAD_S * RATE), min(len(x), first + size + PAD_S * RATE)
+        if hi - lo < 2 * N_FFT:
+            break
+        own = [k for k in range(int(first / RATE // HOP_S), n) if first <= k * HOP_S * RATE < first + size]
+        spec = pcen(x[lo:hi]) if own else None
+        for k in own:
+            a = int((k * HOP_S - lo / RATE) * RATE / HOP)
+            if a + FRAMES <= spec.shape[1]:
+                yield k, spec[:, a : a + FRAMES]
+
+
+def clips_of(files: DataFrame, decode: Callable[[bytes], tuple[np.ndarray, int]] = decode_wav) -> DataFrame:
+    """Clips of audio files (``path, content``) with their normalised spectra, one minute at a time.
+
+    ``decode`` turns a file's bytes into mono samples between -1 and 1 and their rate; the
+    built-in one reads PCM WAV, give another for flac, ogg or mp3. A file that can't be
+    decoded gives one row with ``error`` set instead of failing the job.
     """
     schema = "path string, clip_no bigint, clip_start double, clip_end double, pcen array<float>, error string"
 
@@ -76,23 +113,18 @@ def clips_of(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    x, rate = decode_wav(content)
+                    x, rate = decode(content)
                     if rate != RATE:
                         x = np.interp(np.arange(int(len(x) * RATE / rate)) * rate / RATE, np.arange(len(x)), x).astype(np.float32)
                 except Exception as e:  # noqa: BLE001 - any broken file is reported, none stops the others
                     yield pd.DataFrame([(path, None, None, None, None, str(e)[:200])], columns=columns)
                     continue
-                n = int((len(x) / RATE - 3) // 1.5) + 1 if len(x) >= 3 * RATE else 0
                 rows = []
-                for first in range(0, n, 40):  # a minute of starts, with what the smoother needs around it
-                    lo = max(0, int((first * 1.5 - 2) * RATE)) // HOP * HOP
-                    hi = min(len(x), int((first * 1.5 + 65) * RATE))
-                    spec = pcen(x[lo:hi])
-                    for k in range(first, min(n, first + 40)):
-                        a = int(k * 1.5 * RATE - lo) // HOP
-                        part = spec[:, a : a + FRAMES]
-                        part = np.pad(part, ((0, 0), (0, FRAMES - part.shape[1])))
-                        rows.append((path, k, k * 1.5, k * 1.5 + 3, part.ravel(), None))
+                for k, part in clips_of_samples(x):
+                    rows.append((path, k, k * HOP_S, k * HOP_S + CLIP_S, part.ravel(), None))
+                    if len(rows) == 40:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
                 if rows:
                     yield pd.DataFrame(rows, columns=columns)
 

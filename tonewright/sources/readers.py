@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +18,13 @@ def read_document(spark: SparkSession, path: str, lines: bool = False) -> DataFr
 
 
 def read_detections(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Rows of detections documents with file names filled in and a ``det_id`` by document and place."""
-    docs = read_document(spark, path, lines).select("audio_file", F.input_file_name().alias("_doc"), F.posexplode("detections").alias("_i", "_d"))
-    rows = docs.select("audio_file", "_doc", "_i", "_d.*")
+    """Rows of detections documents with file names filled in and a ``det_id`` (bigint, unique).
+
+    Ids rise by document and place in it, so their order is that of the rows.
+    """
+    rows = read_document(spark, path, lines).select("audio_file", F.explode("detections").alias("_d")).select("audio_file", "_d.*")
     name = F.coalesce(blank_to_null(F.col("filename")), blank_to_null(basename(F.col("audio_file"))), blank_to_null(basename(F.col("file_path"))), F.lit("unknown"))
-    return rows.withColumn("filename", name).withColumn("det_id", F.pmod(F.xxhash64("_doc", "audio_file"), F.lit(2**22)) * F.lit(2**40) + F.col("_i")).drop("audio_file", "_doc", "_i")
+    return rows.withColumn("filename", name).withColumn("det_id", F.monotonically_increasing_id()).drop("audio_file")
 
 
 def read_csv(spark: SparkSession, path: str, id_col: str = "label_id") -> DataFrame:
@@ -42,10 +45,14 @@ def read_csv(spark: SparkSession, path: str, id_col: str = "label_id") -> DataFr
 def read_taxonomy_json(spark: SparkSession, path: str) -> DataFrame:
     """code, scientific_name, english_name of a lookup file; empty if there's none."""
     out = "code string, scientific_name string, english_name string"
-    if not os.path.exists(path):
-        return spark.createDataFrame([], out)
     names = "map<string,struct<scientific_name:string,english_name:string>>"
-    text = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", names)).alias("code", "v"))
+    try:
+        raw = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], out)
+    text = raw.select(F.explode(F.from_json("value", names)).alias("code", "v"))
     return text.select("code", "v.scientific_name", "v.english_name")
 
 
@@ -54,10 +61,16 @@ def read_taxonomy_sheet(spark: SparkSession, path: str) -> DataFrame:
     if path.lower().endswith((".xlsx", ".xls")):
         import pandas as pd
 
-        try:
-            sheet = pd.read_excel(path, dtype=str)
-        except ImportError as e:
-            raise RuntimeError("reading spreadsheets needs openpyxl; save the sheet as CSV") from e
+        for left in (4, 3, 2, 1, 0):
+            try:
+                sheet = pd.read_excel(path, dtype=str)
+                break
+            except ImportError as e:
+                raise RuntimeError("reading spreadsheets needs openpyxl; save the sheet as CSV") from e
+            except PermissionError:  # open in another program
+                if not left:
+                    raise
+                time.sleep(1)
         df = spark.createDataFrame(sheet.where(sheet.notna(), None))
     elif path.lower().endswith(".csv"):
         df = spark.read.option("header", True).csv(path)
@@ -74,6 +87,12 @@ def find_audio(spark: SparkSession, path: str, content: bool = False) -> DataFra
     return files.where(wanted).select("path", "length", *["content"] * content)
 
 
+def drop_blank_rows(df: DataFrame) -> DataFrame:
+    """Blank texts become NULL, and rows of NULLs only are left out."""
+    tidy = df.select(*[blank_to_null(F.col(f"`{c}`")).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes])
+    return tidy.na.drop("all")
+
+
 def within(df: DataFrame, seconds: float = 600.0) -> DataFrame:
     """Only clips that end within the first seconds of a recording."""
     return df.where(F.col("clip_end") <= F.lit(float(seconds)))
