@@ -66,13 +66,53 @@ def test_matching_of_empty_tables(spark):
     assert entities.match(spark.createDataFrame(det[:5], D), spark.createDataFrame([], L)).count() == 0
 
 
-def test_hyperplane_candidates_reach_the_near_pairs(spark):
+def _candidates(spark, det, lab, D, L, vectors=None):
+    a = entities._with_tokens(entities._keyed(spark.createDataFrame(det, D), "det_id", "filename"), entities._DET, entities._NAME)
+    a = a.withColumn("slab", entities._slab(F.col("t")))
+    b = entities._with_tokens(entities._keyed(spark.createDataFrame(lab, L), "label_id", "filename"), entities._NAME, entities._LOW - entities._NAME)
+    trained = vectors or entities.train(a, b)
+    b = b.withColumn("decoy", F.lit(False)).withColumn("block", entities._slab(F.col("t")))
+    at = entities._at_slabs(b, a.select("key", "slab").distinct(), 2.0)
+    rows = entities._probe(a, at, entities._prober(trained, 6, 4, 9, 0.4, -1.0, 6)).select("d_id", "l_id").collect()
+    return {(x.d_id, x.l_id) for x in rows}, trained
+
+
+def test_blocking_by_trained_vectors_beats_random_ones(spark):
     det, lab, truth, D, L = _match_fixture(spark, 2)
-    a = entities._with_tokens(entities._keyed(spark.createDataFrame(det, D), "det_id", "filename"), 0, 512)
-    b = entities._with_tokens(entities._keyed(spark.createDataFrame(lab, L), "label_id", "filename"), 512, 2048)
-    vectors = np.random.default_rng(0).standard_normal((2648, 24))
-    pairs = {(x.d_id, x.l_id) for x in entities._candidates(a, b, vectors, 6, 24, 4.0, 5).select("d_id", "l_id").collect()}
-    assert len(truth & pairs) >= 0.97 * len(truth)
+    shifted = {x[0] for x in lab if x[1][3:5] in ("03", "07", "11")}
+    truth = {t for t in truth if t[1] not in shifted}  # clocks are put right before
+    found, trained = _candidates(spark, det, lab, D, L)
+    assert len(truth & found) >= 0.98 * len(truth)
+    rng = np.random.default_rng(0)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    chance = entities.Vectors(unit(rng.standard_normal(trained.what.shape)), unit(rng.standard_normal(trained.place.shape)))
+    blind, _ = _candidates(spark, det, lab, D, L, chance)
+    # with random vectors a place's neighbours are strangers: fewer right pairs among not fewer candidates
+    assert len(truth & blind) < 0.93 * len(truth & found)
+
+
+def test_places_near_in_time_have_near_vectors(spark):
+    det, lab, _, D, L = _match_fixture(spark, 3)
+    a = entities._with_tokens(entities._keyed(spark.createDataFrame(det, D), "det_id", "filename"), entities._DET, entities._NAME)
+    v = entities.train(a, a.limit(0))
+    t = np.arange(0, 64, 0.5)
+    cos = lambda d: float((v.of_place(t) * v.of_place(t + d)).sum(axis=1).mean())
+    assert cos(0.1) > 0.97 and cos(0.1) > cos(0.5) > cos(2) > cos(8) and abs(cos(64) - 1) < 1e-9
+
+
+def test_matching_copes_with_absurd_rows(spark):
+    det, lab, truth, D, L = _match_fixture(spark, 4)
+    inf = float("inf")
+    det += [(10**7 + k, f, None, None, t, e, None, None) for k, (f, t, e) in enumerate([(None, 1.0, 2.0), ("STA00_20310101_000000.wav", None, 2.0), ("STA00_20310101_000000.wav", NAN, 1.0), ("STA00_20310101_000000.wav", inf, 1.0), ("STA00_20310101_000000.wav", 5.0, inf)])]
+    lab += [(2 * 10**6 + k, "STA00_20310101_000000.wav", t, e, None, NAN, "\x00" * 3, "x") for k, (t, e) in enumerate([(3.0, 1e15), (None, 2.0), (4.0, inf), (1e15, 2e15), (-1e15, 1e15)])]
+    d = spark.createDataFrame(det, D).withColumn("key", F.lit("clash")).withColumn("slab", F.lit(1))
+    got = {(x.det_id, x.label_id) for x in entities.match(d, spark.createDataFrame(lab, L)).collect()}
+    assert len(got & truth) >= 0.95 * len(truth)
+
+
+def test_isotonic_pools_violators():
+    assert entities.isotonic(np.array([1.0, 3.0, 2.0, 4.0]), np.array([1.0, 1.0, 3.0, 1.0])).tolist() == [1.0, 2.25, 2.25, 4.0]
+    assert entities.isotonic(np.array([]), np.array([])).tolist() == []
 
 
 # --- 2 percentiles -----------------------------------------------------------------------
