@@ -81,14 +81,15 @@ def test_blocking_by_trained_vectors_beats_random_ones(spark):
     det, lab, truth, D, L = _match_fixture(spark, 2)
     shifted = {x[0] for x in lab if x[1][3:5] in ("03", "07", "11")}
     truth = {t for t in truth if t[1] not in shifted}  # clocks are put right before
+    lab = [(*x[:2], x[2] + 0.3, x[3] + 0.3, *x[4:]) for x in lab]  # but not wholly
     found, trained = _candidates(spark, det, lab, D, L)
-    assert len(truth & found) >= 0.98 * len(truth)
+    assert len(truth & found) >= 0.95 * len(truth)
     rng = np.random.default_rng(0)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     chance = entities.Vectors(unit(rng.standard_normal(trained.what.shape)), unit(rng.standard_normal(trained.place.shape)))
     blind, _ = _candidates(spark, det, lab, D, L, chance)
-    # with random vectors a place's neighbours are strangers: fewer right pairs among not fewer candidates
-    assert len(truth & blind) < 0.93 * len(truth & found)
+    # with random vectors a place's neighbours are strangers
+    assert len(truth & blind) < 0.7 * len(truth & found)
 
 
 def test_places_near_in_time_have_near_vectors(spark):

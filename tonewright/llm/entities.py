@@ -218,7 +218,8 @@ def _at_slabs(lab: DataFrame, places: DataFrame, margin: float) -> DataFrame:
 
 
 _RECORD = ("id", "t", "e", "lo", "hi", "sp", "kl", "kh", "kd")
-_PAIR = "l_id bigint, d_id bigint, decoy boolean, block bigint, l_t double, l_len double, d_len double, dt double, de double, dl double, dh double, alike float, unnamed boolean, cosine float"
+_PAIR = "l_id bigint, d_id bigint, block bigint, decoy boolean, unnamed boolean, l_len float, d_len float, dt double, dl float, dh float, alike float"
+AROUND_S = 2.0  # candidates stand at most so far outside a label's span
 
 
 def _codes(x: np.ndarray, planes: np.ndarray, tables: int) -> np.ndarray:
@@ -276,11 +277,13 @@ def _prober(vectors: Vectors, place_tables: int, full_tables: int, bits: int, st
         what = (lw[li] * dw[di]).sum(axis=1)
         place = (vectors.of_place(L["t"].astype(float)) * vectors.of_place(D["t"].astype(float))).sum(axis=1)
         out = pd.DataFrame({
-            "l_id": L["id"], "d_id": D["id"], "decoy": L["decoy"].astype(bool), "block": L["block"], "l_t": L["t"], "l_len": L["e"] - L["t"], "d_len": D["e"] - D["t"],
-            "dt": D["t"] - L["t"], "de": D["e"] - L["e"], "dl": D["lo"] - L["lo"], "dh": D["hi"] - L["hi"], "alike": alike.astype(np.float32),
-            "unnamed": (D["sp"] == _DET) | (L["sp"] == _NAME), "cosine": ((what + place) / 2 if place_tables else what).astype(np.float32),
+            "l_id": L["id"], "d_id": D["id"], "block": L["block"], "decoy": L["decoy"].astype(bool), "unnamed": (D["sp"] == _DET) | (L["sp"] == _NAME),
+            "l_len": L["e"] - L["t"], "d_len": D["e"] - D["t"], "dt": D["t"] - L["t"], "dl": D["lo"] - L["lo"], "dh": D["hi"] - L["hi"], "alike": alike,
         })
-        return out[out["cosine"] >= least]
+        if not place_tables:
+            return out[what >= least]
+        outside = np.maximum(-out["dt"], out["dt"] - np.nan_to_num(out["l_len"].to_numpy(float)))
+        return out[(outside <= AROUND_S) & ((place >= least) | (out["l_len"] > AROUND_S))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept, last = None, None
@@ -396,8 +399,9 @@ def _lookup(table: dict[int, float], cell: Column) -> Column:
     """The weight of a cell; one that never occurred weighs nothing."""
     if not table:
         return F.lit(0.0)
-    pairs = [F.lit(x) for k, v in sorted(table.items()) for x in (int(k), float(v))]
-    return F.coalesce(F.element_at(F.create_map(*pairs), cell), F.lit(0.0))
+    low = min(table)
+    values = F.array(*[F.lit(float(table.get(k, 0.0))) for k in range(low, max(table) + 1)])  # an array: looked up by place
+    return F.coalesce(F.get(values, cell - low), F.lit(0.0))
 
 
 def isotonic(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -424,7 +428,7 @@ def _calibrated(scored: DataFrame, kind: str, score: str) -> dict[int, float]:
 
 
 def match(
-    detections: DataFrame, labels: DataFrame, place_tables: int = 6, full_tables: int = 4, bits: int = 9, step: float = 0.4, clock_reach: float = 30.0, least: float = 0.5, seed: int = 5
+    detections: DataFrame, labels: DataFrame, place_tables: int = 6, full_tables: int = 4, bits: int = 9, step: float = 0.4, clock_reach: float = 30.0, least: float = 0.4, seed: int = 5
 ) -> DataFrame:
     """``det_id, label_id, confidence`` of all pairs with at least the confidence ``least``.
 
@@ -460,10 +464,9 @@ def match(
     beside = F.coalesce(F.least(F.col("e") - F.col("t"), F.lit(SLAB_S)), F.lit(1.0)) + F.lit(DECOY_S)
     away = F.when((F.col("t") >= beside) & (F.pmod(F.xxhash64("id"), F.lit(2)) == 0), -beside).otherwise(beside)
     decoys = lab.withColumn("_away", away).withColumn("t", F.col("t") + F.col("_away")).withColumn("e", F.col("e") + F.col("_away")).withColumn("decoy", F.lit(True)).drop("_away")
-    found = _probe(det, _at_slabs(lab.unionByName(decoys), places, 2.0), _prober(vectors, place_tables, full_tables, bits, step, -1.0, seed + 1))
+    found = _probe(det, _at_slabs(lab.unionByName(decoys), places, AROUND_S), _prober(vectors, place_tables, full_tables, bits, step, 0.0, seed + 1))
     # a label over a slab's end meets a detection once, since a detection is in one slab
-    pairs = cut(found.repartition("l_id", "decoy"))
-    return _judged(pairs, least)
+    return _judged(cut(found.drop("block")), least)
 
 
 def _ends(c: str) -> Column:
@@ -496,7 +499,7 @@ def _judged(pairs: DataFrame, least: float) -> DataFrame:
     """Confidence of candidates by calibrated weights of cosines and exact differences."""
     short = F.coalesce(F.col("d_len") * 1.2 < F.col("l_len"), F.lit(False))  # can be no more than a part of the label
     # but of two short ones the lengths may differ by rounding
-    pairs = pairs.withColumn("is_whole", ~short | (F.col("l_len") - F.col("d_len") <= 0.35))
+    pairs = pairs.withColumn("is_whole", ~short | (F.col("l_len") - F.col("d_len") <= 0.35)).withColumn("de", F.col("dt") + F.col("d_len") - F.col("l_len"))
     cells = _cells()
     both = (F.count(F.when(~F.col("decoy"), 1)).alias("found"), F.count(F.when(F.col("decoy"), 1)).alias("false"))
     weights: dict[str, dict[int, float]] = {}
