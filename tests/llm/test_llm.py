@@ -202,6 +202,34 @@ def test_plan_holds_everything_once_and_wastes_little(capacity):
     assert packing.plan({}, capacity) == ([], 0)
 
 
+def test_patterns_do_the_packing_and_beat_best_fit():
+    # best fit puts the large ones with the wrong partners
+    counts = {1034: 600, 532: 600, 522: 600, 492: 1200}
+    _, containers, placed = packing._planned(counts, 2048, 128, 12)
+    _, best_fit, _ = packing._planned(counts, 2048, 128, 1)
+    assert containers == 900 < best_fit and placed == 3000
+    r = random.Random(8)
+    mixed = {}
+    for _ in range(20_000):
+        n = min(2048, max(1, int(r.expovariate(1 / 300))))
+        mixed[n] = mixed.get(n, 0) + 1
+    _, containers, placed = packing._planned(mixed, 2048, 128, 12)
+    assert placed > 0.9 * sum(mixed.values()) and containers <= 1.005 * sum(k * v for k, v in mixed.items()) / 2048 + 1
+
+
+def test_best_pattern_is_the_most_valuable_filling():
+    import itertools
+
+    r = np.random.default_rng(5)
+    for _ in range(20):
+        sizes = np.unique(r.integers(1, 12, 5))
+        value = r.standard_normal(len(sizes))
+        gain, p = packing.best_pattern(value, sizes, 20, 4, 3)
+        all_ = [c for k in range(1, 5) for c in itertools.combinations_with_replacement(range(len(sizes)), k) if 17 <= sizes[list(c)].sum() <= 20]
+        want = max((value[list(c)].sum() for c in all_), default=-np.inf)
+        assert gain == want == -np.inf or abs(gain - want) < 1e-9 and abs(value[list(p)].sum() - gain) < 1e-9
+
+
 def test_containers_of_texts(spark):
     rows = [(1, 0), (2, None), (3, 5000), (4, 2048), (5, 100), (5, 100)] + [(i, i % 700 + 1) for i in range(10, 900)]
     got = packing.containers(spark.createDataFrame(rows, "id bigint, length bigint").withColumn("piece", F.lit(7)), 2048).collect()
@@ -236,6 +264,26 @@ def _leak_brute(docs, items):
     return out
 
 
+def test_words_are_those_a_reader_sees():
+    text = "Caf&eacute;&nbsp;au<br/>lait, ex<b>am</b>ple <A HREF='x>y' title=z>link</a> a <b and c> d <!-- no -->don't " + "<i class='" + "k" * 400 + "'>end</i>"
+    assert leakage.visible_words(text) == "café au lait ex am ple link a b and c d don t end".split()
+    assert leakage.visible_words(text, joined=True) == "café au lait example link a b and c d don't end".split()
+
+
+def test_replaced_words_with_apostrophes_are_one_word(spark):
+    w = [f"w{i}" for i in range(40)]
+    item = w[:]
+    item[12] = "it's"
+    other, few = w[:], w[:]
+    other[5], other[12], other[22] = "mother-in-law", "plain", "x"
+    few[4], few[11], few[18], few[25], few[32] = "a", "b", "c", "d", "e"
+    docs = spark.createDataFrame([(1, " ".join(other)), (2, " ".join(few)), (3, "ex<b>tra</b> " + " ".join(x[0] + "<em>" + x[1:] + "</em>" for x in item))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(9, " ".join(item))], "eval_id bigint, text string")
+    assert sorted(r.id for r in leakage.leaked_passages(docs, items).collect()) == [1, 3]
+    many = items.union(spark.createDataFrame([(k, " ".join(f"v{k}_{i}" for i in range(35))) for k in range(20, 30)], items.schema))
+    assert sorted(r.id for r in leakage.leaked_passages(docs, many, block_chars=300, blocks=2).collect()) == [1, 3]
+
+
 def test_leaks_match_brute_force(spark):
     r = random.Random(8)
     vocab = [f"w{k}" for k in range(300)] + ["größe", "élan", "тест"]
@@ -286,6 +334,15 @@ def test_consistent_form_is_a_fixed_point():
         assert t(unicodedata.normalize("NFD", s)) == t(s), ascii(s)
 
 
+def test_units_are_compiled_before_any_text():
+    units = visible.compile_units(visible.LOOK_ALIKES)
+    assert units["\r\n"] == "\n" and units["Ａ"] == "A" and units["\u00a0"] == " " and units["\u200b"] == ""
+    assert units["e\u0301"] == units["\u0435\u0301"] == "é" if "\u0435\u0301" in units else units["e\u0301"] == "é"
+    assert all(visible.transducer()(f) == f for f in units.values())
+    with pytest.raises(visible.Conflict):
+        visible.compile_units({"x": "Ａ"})  # the width rule says A
+
+
 def test_conflicts_are_refused():
     with pytest.raises(visible.Conflict):
         visible.compile_mapping({"a": "x", "b": "x"})

@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from html import unescape
 
 import numpy as np
 import pandas as pd
@@ -24,16 +26,31 @@ from xxhash import xxh3_64_intdigest
 from tonewright.llm.visible import transducer
 
 SHINGLE = 5
-_MARKUP = re.compile(r"</?[a-z!][^<>]{0,300}>|&(?:[a-z]{2,8}|#x?[0-9a-f]{1,6});")
+#: A tag has a name and attributes with values; other angle brackets are text.
+_TAG = re.compile(r"""<!--.*?-->|<!doctype[^<>]*>|</?([a-z][a-z0-9]*)(?:\s+[\w:-]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+))*\s*/?>""", re.I | re.S)
+#: Tags that don't part what stands before and behind them.
+_INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup tt u var wbr".split())
 _WORD = re.compile(r"[^\W_]+")
+_JOINED = re.compile(r"[^\W_]+(?:['’‐‑-][^\W_]+)*")
 
 
-def visible_words(text: str) -> list[str]:
-    """The words as a reader sees them: consistent characters, no case, markup or punctuation."""
-    form = transducer()(text).casefold()
-    if "<" in form or "&" in form:
-        form = _MARKUP.sub(" ", form)
-    return _WORD.findall(form)
+def visible_words(text: str, joined: bool = False) -> list[str]:
+    """The words as a reader sees them: consistent characters, no case, markup or punctuation.
+
+    Entities are read as their characters. Apostrophes and hyphens part words, and so does
+    every tag; ``joined`` is the other reading, in which words with either are one and tags
+    within a line don't part.
+    """
+    if "<" in text:
+        text = _TAG.sub(lambda m: "" if joined and (m[1] or "").lower() in _INLINE else " ", text)
+    if "&" in text:
+        text = unescape(text)
+    return (_JOINED if joined else _WORD).findall(transducer()(text).casefold())
+
+
+def _two_readings(text: str) -> bool:
+    """Whether tags or entities let the two readings differ in more than apostrophes and hyphens."""
+    return "<" in text
 
 
 class _Codes(dict):
@@ -84,7 +101,7 @@ class Index:
         self.masks = rng.integers(0, 2**63, max(self.hashes), dtype=np.uint64)
 
         codes = _Codes()
-        self.ids, self.words, sh, owner, place = [], [], [], [], []
+        self.ids, self.words, self.whole, sh, owner, place = [], [], [], [], [], []
         for item, text in items:
             w = np.array([codes[x] for x in visible_words(text)], np.uint64)
             if len(w) < passage:
@@ -95,6 +112,7 @@ class Index:
             place.append(np.arange(len(s)))
             self.ids.append(item)
             self.words.append(w)
+            self.whole.append(np.array([codes[x] for x in visible_words(text, joined=True)], np.uint64))
         self.shingles = np.concatenate(sh) if sh else np.empty(0, np.uint64)
         self.owner = np.concatenate(owner) if sh else np.empty(0, np.int64)
         self.place = np.concatenate(place) if sh else np.empty(0, np.int64)
@@ -138,8 +156,30 @@ def _spread(keys: np.ndarray, flags: np.ndarray, wanted: np.ndarray) -> tuple[np
     return np.repeat(maybe, n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
-def _search(index: Index, docs: list[list[str]], codes: _Codes) -> list[tuple[int, int]]:
-    """(document, item) positions of all documents with a passage of an item."""
+def _passage(item: np.ndarray, text: np.ndarray, index: Index) -> bool:
+    """Whether the text carries a passage of the item, on any alignment with two successive words in common."""
+    order = np.argsort(item, kind="stable")
+    lo, hi = np.searchsorted(item[order], text, "left"), np.searchsorted(item[order], text, "right")
+    n = hi - lo
+    at = np.repeat(np.arange(len(text)), n)
+    of = order[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+    shifts, count = np.unique(at - of, return_counts=True)
+    for s in shifts[count >= index.passage - index.replaced].tolist():
+        a, b = max(0, -s), min(len(item), len(text) - s)
+        if b - a < index.passage:
+            continue
+        same = np.cumsum(np.r_[0, (item[a:b] == text[a + s : b + s]).astype(np.int64)])
+        if (same[index.passage :] - same[: -index.passage]).max() >= index.passage - index.replaced:
+            return True
+    return False
+
+
+def _search(index: Index, docs: list[list[str]], codes: _Codes, texts: list[str]) -> list[tuple[int, int]]:
+    """(document, item) positions of all documents with a passage of an item.
+
+    Where shingles agree on alignments a few words apart, words with apostrophes or hyphens
+    may have been replaced; these few candidates are read again with such words as one.
+    """
     sizes = np.array([len(d) for d in docs])
     usable = np.flatnonzero(sizes >= index.passage)
     if not len(usable) or not index.ids:
@@ -192,7 +232,8 @@ def _search(index: Index, docs: list[list[str]], codes: _Codes) -> list[tuple[in
     fresh[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])
     again = ~fresh & (pos == np.r_[-1, pos[:-1]])  # the same place in two stretches
     count = np.add.reduceat((~again).astype(np.int64), np.flatnonzero(fresh))
-    heads = np.flatnonzero(fresh)[count >= index.least]
+    starts = np.flatnonzero(fresh)
+    heads = starts[count >= index.least]
     out = set()
     for h in heads:
         pair = (int(usable[d[h]]), int(item[h]))
@@ -206,28 +247,42 @@ def _search(index: Index, docs: list[list[str]], codes: _Codes) -> list[tuple[in
         same = np.cumsum(np.r_[0, (w[a:b] == text[a + s : b + s]).astype(np.int64)])
         if (same[index.passage :] - same[: -index.passage]).max() >= index.passage - index.replaced:
             out.add(pair)
+    # alignments of one document and item within four words of each other, enough only together
+    d, item, shift, last = d[starts], item[starts], shift[starts], pos[np.r_[starts[1:], len(pos)] - 1]
+    beside = (d[1:] == d[:-1]) & (item[1:] == item[:-1]) & (shift[1:] - shift[:-1] <= 4) & (count[1:] + count[:-1] >= index.least) & (np.abs(last[1:] - last[:-1]) < 2 * index.passage)
+    again_: dict[int, np.ndarray] = {}
+    for h in np.flatnonzero(beside):
+        at, pair = int(usable[d[h]]), (int(usable[d[h]]), int(item[h]))
+        if pair not in out:
+            if at not in again_:
+                again_[at] = np.array([codes[w] for w in visible_words(texts[at], joined=True)], np.uint64)
+            if _passage(index.whole[item[h]], again_[at], index):
+                out.add(pair)
     return sorted(out)
 
 
-def _finder(index: Index, chars: int):
+def _finder(indexes: list[Index], chars: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = _Codes()
 
-        def part(ids: list, docs: list[list[str]]) -> pd.DataFrame:
-            hits = _search(index, docs, codes)
-            return pd.DataFrame({"id": [ids[i] for i, _ in hits], "item_id": [index.ids[j] for _, j in hits]}, dtype="int64")
+        def part(ids: list, docs: list[list[str]], texts: list[str]) -> pd.DataFrame:
+            # a text is read once for all blocks of items
+            hits = [(ids[i], index.ids[j]) for index in indexes for i, j in _search(index, docs, codes, texts)]
+            return pd.DataFrame(hits, columns=["id", "item_id"], dtype="int64")
 
         for batch in batches:
-            ids, docs, size = [], [], 0
+            ids, docs, texts, size = [], [], [], 0
             for i, text in zip(batch["id"], batch["text"]):
-                ids.append(i)
-                docs.append(visible_words(text))
+                for joined in (False, True)[: 1 + _two_readings(text)]:
+                    ids.append(i)
+                    docs.append(visible_words(text, joined))
+                    texts.append(text)
                 size += len(text)
                 if size >= chars:  # bounds the arrays of a step, not what is searched
-                    yield part(ids, docs)
-                    ids, docs, size = [], [], 0
+                    yield part(ids, docs, texts)
+                    ids, docs, texts, size = [], [], [], 0
             if ids:
-                yield part(ids, docs)
+                yield part(ids, docs, texts)
 
     return run
 
@@ -243,30 +298,40 @@ def leaked_passages(
     replaced: int = 3,
     miss: float = 1e-3,
     block_chars: int = 4_000_000,
+    blocks: int = 8,
 ) -> DataFrame:
     """``id, item_id`` for every document with a passage of an item.
 
     A passage is ``passage`` successive words of the item in their order, at most
     ``replaced`` of them replaced by others. ``miss`` bounds the probability that a passage
     at this limit isn't found; whole quotations are found with near certainty. Both ids are
-    integers. The items are taken in blocks of at most ``block_chars`` characters, each sent
-    to the tasks once and compared with all documents, so any number of items works in
-    bounded memory; documents are never shuffled. Rows with a NULL id or text don't count;
+    integers. The items are taken in blocks of about ``block_chars`` characters; up to
+    ``blocks`` of them go to the tasks together, and the documents are read once for these.
+    More items take further passes over the documents, so the memory of a task stays bounded
+    whatever their number; documents are never shuffled. Rows with a NULL id or text don't count;
     repeated document rows give one result row; texts shorter than a passage can't match.
     """
     chosen = items.select(F.col(item_id_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).dropna().distinct()
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).dropna()
-    out, block, size = None, [], 0
+    passes: list[DataFrame] = []
+    indexes: list[Index] = []
+    block, size = [], 0
 
-    def search(block: list) -> DataFrame:
-        return rows.mapInPandas(_finder(Index(block, passage, replaced, miss), 2_000_000), "id bigint, item_id bigint")
+    def search() -> None:
+        """One pass over the documents for the blocks so far."""
+        passes.append(rows.mapInPandas(_finder(list(indexes), 2_000_000), "id bigint, item_id bigint"))
+        indexes.clear()
 
     for r in chosen.toLocalIterator():
         block.append((r["id"], r["text"]))
         size += len(r["text"])
         if size >= block_chars:
-            out = search(block) if out is None else out.unionByName(search(block))
+            indexes.append(Index(block, passage, replaced, miss))
             block, size = [], 0
-    if block or out is None:
-        out = search(block) if out is None else out.unionByName(search(block))
-    return out.distinct()
+            if len(indexes) == blocks:
+                search()
+    if block or not passes and not indexes:
+        indexes.append(Index(block, passage, replaced, miss))
+    if indexes:
+        search()
+    return reduce(DataFrame.unionByName, passes).distinct()

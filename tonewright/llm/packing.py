@@ -2,8 +2,9 @@
 
 Only the histogram of lengths (at most one entry per token of the capacity) reaches the
 driver. There, patterns of a few documents whose length classes fill a container are
-enumerated, their repeat counts are fitted to the histogram by non-negative least squares
-and rounded down, and what is left is packed into the remaining room, tightest first. The
+enumerated (implicitly, by dynamic programming), their repeat counts are fitted to the
+histogram by non-negative least squares and rounded down, and the few documents left are
+packed into the remaining room, tightest first. The
 plan is a list of slots "the documents of length L with ranks a to b go to containers from
 c on". Every document finds its slot by its rank within its length; ranks come from counts
 per length and bucket, so no length's documents meet in one task.
@@ -52,12 +53,13 @@ def token_count(text: Column, vocabulary: str = VOCABULARY, split: str = SPLIT)
     return F.pandas_udf(run, "bigint")(text)
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """The x >= 0 with the least ||a x - b||, by the active set method of Lawson and Hanson."""
+def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000, start: np.ndarray | None = None) -> np.ndarray:
+    """The x >= 0 with the least ||a x - b||, by the active set method of Lawson and Hanson; ``start`` is a feasible x."""
     n = a.shape[1]
-    x, active = np.zeros(n), np.zeros(n, bool)
-    slope = a.T @ b
-    limit = 1e-9 * max(1.0, float(np.abs(slope).max(initial=0)))
+    x = np.zeros(n) if start is None else start.astype(float)
+    active = x > 0
+    slope = a.T @ (b - a @ x)
+    limit = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
     for _ in range(rounds):
         if active.all() or (best := np.where(active, -np.inf, slope).argmax()) is None or slope[best] <= limit or active[best]:
             break
@@ -82,21 +84,56 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
     return x
 
 
-def patterns(classes: int, parts: int) -> list[tuple[int, ...]]:
-    """All multisets of at most ``parts`` classes whose sizes fill a container, largest first."""
-    out: list[tuple[int, ...]] = []
+def best_pattern(value: np.ndarray, sizes: np.ndarray, capacity: int, parts: int, slack: int) -> tuple[float, tuple[int, ...]]:
+    """The multiset of at most ``parts`` classes that fills the capacity but for ``slack`` with the greatest total value, as places in ``sizes``.
 
-    def grow(left: int, most: int, chosen: tuple[int, ...]) -> None:
-        if left == 0:
-            out.append(chosen)
-        elif len(chosen) < parts:
-            for c in range(min(left, most), 0, -1):
-                if c * (parts - len(chosen)) < left:
-                    break
-                grow(left - c, c, (*chosen, c))
-
-    grow(classes, classes, ())
-    return out
+    ``value[i]`` is what a document of size ``sizes[i]`` is worth. Dynamic programming over
+    the room filled so far.
+    """
+    best = np.full((parts + 1, capacity + 1), -np.inf)
+    best[0, 0] = 0.0
+    last = np.zeros((parts + 1, capacity + 1), np.int64)
+    room = np.arange(capacity + 1)[:, None] - sizes[None]  # what was filled before a document was added
+    fits = room >= 0
+    for k in range(1, parts + 1):
+        worth = np.where(fits, best[k - 1][np.maximum(room, 0)] + value, -np.inf)
+        last[k] = worth.argmax(axis=1)
+        best[k] = worth.max(axis=1)
+    full = best[:, capacity - slack :]
+    k, over = np.unravel_index(int(full.argmax()), full.shape)
+    left = over + capacity - slack
+    gain, chosen = float(best[k, left]), []
+    for n in range(int(k), 0, -1):
+        i = int(last[n, left])
+        chosen.append(i)
+        left -= sizes[i]
+    return gain, tuple(sorted(chosen, reverse=True))
+
+
+def fit_patterns(counts: np.ndarray, sizes: np.ndarray, capacity: int, parts: int, slack: int, rounds: int = 400) -> list[tuple[tuple[int, ...], float]]:
+    """Patterns with their repeat counts: non-negative least squares on the histogram of classes.
+
+    All patterns of at most ``parts`` documents take part without being listed: the one with
+    the steepest descent is the most valuable filling under the residual counts. The active
+    set of patterns then is fitted as by Lawson and Hanson.
+    """
+    if not len(counts):
+        return []
+    scale = max(1.0, counts.max())
+    b = counts / scale
+    columns: list[tuple[int, ...]] = []
+    a, x = np.zeros((len(b), 0)), np.zeros(0)
+    for _ in range(rounds):
+        gain, p = best_pattern(b - a @ x, sizes, capacity, parts, slack)
+        if gain <= 1e-6 or p in columns:
+            break
+        columns.append(p)
+        a = np.c_[a, np.bincount(p, minlength=len(b))]
+        x = nnls(a, b, start=np.r_[x, 0.0])
+        keep = x > 1e-9
+        columns, a, x = [c for c, k in zip(columns, keep) if k], a[:, keep], x[keep]
+    # fullest first
+    return sorted(zip(columns, x * scale), key=lambda t: (-sizes[list(t[0])].sum(), -t[1], t[0]))
 
 
 class _Room:
@@ -126,19 +163,25 @@ class _Room:
         return room, first, n
 
 
-def plan(counts: dict[int, int], capacity: int, classes: int = 64, parts: int = 3) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def plan(counts: dict[int, int], capacity: int, classes: int = 128, parts: int = 12) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Slots (length, first rank, documents, first container, per container) and the number of containers.
 
     ``counts`` maps lengths from 1 to ``capacity`` to numbers of documents. The slots of a
     length cover its ranks from 0 without gaps, and no container holds more than ``capacity``.
     """
+    slots, containers, _ = _planned(counts, capacity, classes, parts)
+    return slots, containers
+
+
+def _planned(counts: dict[int, int], capacity: int, classes: int, parts: int) -> tuple[list[tuple[int, int, int, int, int]], int, int]:
+    """As :func:`plan`, and the number of documents that patterns have placed."""
     classes = min(classes, capacity)
     left = {length: n for length, n in counts.items() if n > 0}
     if any(not 1 <= length <= capacity for length in left):
         raise ValueError("lengths must be between 1 and the capacity")
     used = dict.fromkeys(left, 0)
     slots: list[tuple[int, int, int, int, int]] = []
-    room, containers = _Room(), 0
+    room, containers, by_pattern = _Room(), 0, 0
 
     def put(length: int, n: int, first: int, per: int = 1) -> None:
         slots.append((length, used[length], n, first, per))
@@ -150,40 +193,43 @@ def plan(counts: dict[int, int], capacity: int, classes: int = 64, parts: int =
     # containers that one document fills
     if n := left.get(capacity, 0):
         put(capacity, n, 0)
-        containers = n
-
-    by_class: dict[int, list[int]] = {}
-    for length in sorted(left):
-        by_class.setdefault(-(-length * classes // capacity), []).append(length)
-    present = sorted(by_class)
-    row = {c: i for i, c in enumerate(present)}
-    usable = [p for p in patterns(classes, parts) if len(p) > 1 and all(c in row for c in p)]
-    if usable:
-        a = np.zeros((len(present), len(usable)))
-        for j, p in enumerate(usable):
-            for c in p:
-                a[row[c], j] += 1
-        b = np.array([sum(left[x] for x in by_class[c]) for c in present], float)
-        scale = max(1.0, b.max())
-        repeats = np.floor(nnls(a, b / scale) * scale + 1e-6).astype(np.int64)
-        for j in np.argsort(-repeats, kind="stable"):
-            p = usable[j]
-            todo = int(repeats[j])
+        containers = by_pattern = n
+
+    # few lengths are classes of their own; of many, a class is the nearest multiple of the capacity's part,
+    # and what rounding leaves is made up by a pattern's last document
+    # what rounding down and spent lengths leave over is fitted again, while that fills a container
+    before = -1
+    while left and containers > before:
+        before = containers
+        there = sorted(left)
+        unit = 1 if len(there) <= classes else capacity / classes
+        of_class: dict[int, list[int]] = {}
+        for length in there:
+            of_class.setdefault(max(1, round(length / unit)), []).append(length)
+        sizes = np.array(sorted(of_class), np.int64)
+        histogram = np.array([sum(left[x] for x in of_class[c]) for c in sizes], float)
+        longest = [of_class[c][-1] for c in sizes]
+        for p, repeats in fit_patterns(histogram, sizes, round(capacity / unit), parts, capacity // 64 if unit == 1 else 0):
+            todo = round(repeats) if unit == 1 else int(repeats + 1e-6)
             while todo > 0:
-                # the longest documents that the classes still have; the last one fills the room that is left
-                chosen = [max((x for x in by_class[c] if x in left), default=0) for c in p[:-1]]
-                there = sorted(left)
-                at = bisect_right(there, capacity - sum(chosen))
-                if not all(chosen) or not at:
+                # the longest documents left within each class's length; the last one fills the room that is left
+                chosen: list[int] = []
+                for i in p[:-1]:
+                    at = _longest(there, left, chosen, min(longest[i], capacity - sum(chosen)))
+                    chosen.append(there[at] if at >= 0 else 0)
+                at = _longest(there, left, chosen, capacity - sum(chosen) if unit != 1 else min(longest[p[-1]], capacity - sum(chosen)))
+                if at < 0 or not all(chosen):
                     break
-                chosen.append(there[at - 1])
+                chosen.append(there[at])
                 n = min([todo, *(left[x] // chosen.count(x) for x in chosen)])
-                if n == 0:  # a length is needed more often than it's there: what is left is packed below
-                    break
-                for x in chosen:
-                    put(x, n, containers)
+                for x in set(chosen):
+                    per = chosen.count(x)
+                    put(x, n * per, containers, per)
+                    if x not in left:
+                        there.pop(bisect_left(there, x))
                 room.add(capacity - sum(chosen), containers, n)
                 containers += n
+                by_pattern += n * len(chosen)
                 todo -= n
 
     # the rest: longest first into the tightest room, then into new containers
@@ -206,7 +252,15 @@ def plan(counts: dict[int, int], capacity: int, classes: int = 64, parts: int =
                 put(length, rest, containers, rest)
                 room.add(capacity - rest * length, containers, 1)
                 containers += 1
-    return slots, containers
+    return slots, containers, by_pattern
+
+
+def _longest(there: list[int], left: dict[int, int], chosen: list[int], most: int) -> int:
+    """Place of the longest length of at most ``most`` that isn't used up by ``chosen``, else -1."""
+    for at in range(bisect_right(there, most) - 1, -1, -1):
+        if left[there[at]] > chosen.count(there[at]):
+            return at
+    return -1
 
 
 def pieces(lengths: DataFrame, capacity: int) -> DataFrame:
@@ -237,7 +291,7 @@ def _assigner(slots: list[tuple[int, int, int, int, int]]):
     return container
 
 
-def containers(lengths: DataFrame, capacity: int = 2048, buckets: int = 64, classes: int = 64, parts: int = 3) -> DataFrame:
+def containers(lengths: DataFrame, capacity: int = 2048, buckets: int = 64, classes: int = 128, parts: int = 12) -> DataFrame:
     """The container of each text or piece: ``id, piece, first_token, length, container_id``.
 
     ``lengths`` has ``id, length``. Texts without tokens or with a NULL length need no room
