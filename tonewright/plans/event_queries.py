@@ -625,7 +625,13 @@ def json_documents(spark, d):
     return writers.documents(_songs(spark, d).drop("stem", "det_id"), {"model": "detector", "song_gap_threshold": GAP, "confidence_threshold": LEAST})
 
 
-@query()
+@query(r"""SELECT 'segment-' || lpad(n::VARCHAR, 6, '0') AS annotation_source_id, coalesce(filename, '') AS sound_file,
+  coalesce(regexp_extract(coalesce(filename, ''), '(?i)(?:^|[^A-Za-z0-9])XC[_-]?(\d+)', 1), '') AS xc_nr, 'tonewright' AS annotator, '' AS annotator_xc_id,
+  printf('%.3f', freq_high_hz::DOUBLE)::DOUBLE AS frequency_high, printf('%.3f', freq_low_hz::DOUBLE)::DOUBLE AS frequency_low,
+  printf('%.3f', time_start)::DOUBLE AS start_time, printf('%.3f', time_end)::DOUBLE AS end_time, species AS scientific_name, 'call' AS sound_type, '2031-01-01' AS date_identified,
+  'Detected by tonewright; eBird code: ' || coalesce(species, '') || CASE WHEN v IS NULL THEN '' ELSE '; confidence: ' || printf('%.3f', v) END AS annotation_remarks
+FROM (SELECT *, coalesce(avg_confidence, max_confidence) AS v, row_number() OVER (ORDER BY filename NULLS FIRST, time_start NULLS FIRST, time_end NULLS FIRST,
+  species_id NULLS FIRST, freq_low_hz NULLS FIRST, song_id) AS n FROM songs)""".replace("\\d", "\d"))
 def annotation_rows(spark, d):
     return writers.annotation_rows(table(spark, d, "songs"), F.col("species"), on=date(2031, 1, 1)).drop("number")
 

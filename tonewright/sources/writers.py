@@ -95,7 +95,8 @@ def annotation_rows(df: DataFrame, scientific: Column, prefix: str = "segment",
     value = F.coalesce(*[F.col(c) for c in ("avg_confidence", "confidence", "max_confidence") if c in df.columns])
     said = F.when(value.isNotNull(), F.concat(F.lit("; confidence: "), fixed(value, 3))).otherwise(F.lit(""))
     remarks = F.concat(F.lit(f"Detected by {software}; eBird code: "), F.coalesce("species", F.lit("")), said)
-    return numbered(df, "filename", "time_start", "time_end", "species_id", "freq_low_hz").select(
+    order = ["filename", "time_start", "time_end", "species_id", "freq_low_hz", *[c for c in ("det_id", "song_id") if c in df.columns]]
+    return numbered(df, *order).select(
         "number",
         F.concat(F.lit(prefix + "-"), F.when(F.col("number") < 1_000_000, F.lpad(F.col("number").cast("string"), 6, "0")).otherwise(F.col("number").cast("string"))).alias("annotation_source_id"),
         name.alias("sound_file"),
