@@ -11,7 +11,7 @@
    one slab of a recording that agree in all bits of a table are candidates. Each record is
    shuffled to its slab once, and tables are probed there. Long labels are looked up at
    places all along their span.
-4. Labels' clocks are off, stretch by stretch: before, tables over the other attributes find
+4. Labels' clocks are off, by annotation file and stretch: before, tables over the other attributes find
    similar records within ``clock_reach``, whose differences in time vote.
 5. Candidates are reranked by exact cosines and exact differences of times and bands. Every
    label also looks for candidates at a place where it can't belong. What these decoys meet
@@ -88,12 +88,13 @@ def _bucket(hz: Column, base: int) -> Column:
 
 
 def _keyed(df: DataFrame, id_col: str, *names: str) -> DataFrame:
-    """``id, key, t, e, lo, hi, species`` of the rows that count."""
+    """``id, key, file, t, e, lo, hi, species`` of the rows that count; ``file`` is the name as written."""
     t, e = finite(F.col("time_start")), finite(F.col("time_end"))
     low, high = finite(F.col("freq_low_hz")), finite(F.col("freq_high_hz"))
     rows = df.where(F.col(id_col).isNotNull() & t.isNotNull()).select(
         F.col(id_col).cast("long").alias("id"),
         _key_hash(names[0], names[-1]).alias("key"),
+        F.xxhash64(names[0]).alias("file"),
         t.alias("t"),
         F.when(e >= t, e).alias("e"),
         F.when(low.isNull() | high.isNull(), low).otherwise(F.least(low, high)).alias("lo"),
@@ -109,6 +110,7 @@ def _with_tokens(rows: DataFrame, species_base: int, species_size: int) -> DataF
     number = F.when(word != "", F.pmod(F.xxhash64(word), F.lit(species_size - 1)) + 1).otherwise(F.lit(0)).cast("int")
     length = F.col("e") - F.col("t")
     return rows.select(
+        *[c for c in ("file",) if c in rows.columns],
         "id", "key", "t", "e", "lo", "hi",
         (number + species_base).alias("sp"),
         _bucket(F.col("lo"), _LOW).alias("kl"),
@@ -228,7 +230,7 @@ def _codes(x: np.ndarray, planes: np.ndarray, tables: int) -> np.ndarray:
     return ((x @ planes > 0).reshape(len(x), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int64)
 
 
-def _prober(vectors: Vectors, place_tables: int, full_tables: int, bits: int, step: float, least: float, seed: int):
+def _prober(vectors: Vectors, place_tables: int, full_tables: int, bits: int, step: float, least: float, seed: int, reach: float = AROUND_S):
     """Pairs that agree in all bits of a table, slab by slab, with their exact cosines.
 
     Rows come sorted by slab, labels before detections, so only the labels of the current
@@ -281,7 +283,7 @@ def _prober(vectors: Vectors, place_tables: int, full_tables: int, bits: int, st
             "l_len": L["e"] - L["t"], "d_len": D["e"] - D["t"], "dt": D["t"] - L["t"], "dl": D["lo"] - L["lo"], "dh": D["hi"] - L["hi"], "alike": alike,
         })
         if not place_tables:
-            return out[what >= least]
+            return out[(what >= least) & (out["dt"].abs() <= reach) & ((out["l_len"] - out["d_len"]).abs() < 0.3)]
         outside = np.maximum(-out["dt"], out["dt"] - np.nan_to_num(out["l_len"].to_numpy(float)))
         return out[(outside <= AROUND_S) & ((place >= least) | (out["l_len"] > AROUND_S))]
 
@@ -323,7 +325,10 @@ def _probe(det: DataFrame, lab: DataFrame, run) -> DataFrame:
 
 
 def _clocks(votes: DataFrame, reach: float, cell: float = 0.1) -> DataFrame:
-    """``key, slab, clock``: by how much the labels of a stretch are early, where votes are clear.
+    """``file, slab, clock``: by how much a file's labels of a stretch are early, where votes are clear.
+
+    Annotators name one recording in different ways and have clocks of their own, so labels
+    vote together by the name as written.
 
     Every pair of a label with a similar detection votes for its difference in time; right
     pairs of a stretch agree, others spread over all differences. A shift other than 0 must
@@ -336,19 +341,19 @@ def _clocks(votes: DataFrame, reach: float, cell: float = 0.1) -> DataFrame:
         votes.select("l_id", "place", F.explode(F.array(at - 1, at, at + 1)).alias("c"), F.when(F.abs(F.col("dt") / cell - at) <= 0.5, F.col("dt")).alias("dt"))
         .groupBy("place", "l_id", "c").agg(F.avg("dt").alias("dt"))
         .withColumn("slab", F.explode(F.array(F.col("place.slab") - 1, F.col("place.slab"), F.col("place.slab") + 1)))
-        .groupBy(F.col("place.key").alias("key"), "slab", "c").agg(F.count(F.lit(1)).alias("n"), F.avg("dt").alias("dt"))
+        .groupBy(F.col("place.file").alias("file"), "slab", "c").agg(F.count(F.lit(1)).alias("n"), F.avg("dt").alias("dt"))
     )
     # at most as many rows a stretch as there are cells
-    w = Window.partitionBy("key", "slab")
+    w = Window.partitionBy("file", "slab")
     chance = F.greatest(F.sum("n").over(w) / F.lit(cells), F.lit(0.02))
     gain = F.when(F.col("n") > F.col("_m"), F.col("n") * F.log(F.col("n") / F.col("_m")) - (F.col("n") - F.col("_m"))).otherwise(F.lit(0.0))
     scored = cast.withColumn("_m", chance).withColumn("gain", gain)
-    best = scored.groupBy("key", "slab").agg(
+    best = scored.groupBy("file", "slab").agg(
         F.max(F.when(F.abs("c") <= 1, F.col("gain"))).alias("still"),
         F.max(F.when(F.abs("c") > 1, F.struct("gain", (-F.abs(F.col("c"))).alias("near"), "dt", "n"))).alias("b"),
     )
     clear = (F.col("b.gain") - F.lit(float(np.log(cells))) > F.coalesce("still", F.lit(0.0))) & (F.col("b.n") >= 2)
-    return best.where(clear).select("key", "slab", F.col("b.dt").alias("clock"))
+    return best.where(clear).select("file", "slab", F.col("b.dt").alias("clock"))
 
 
 # --- calibration ---------------------------------------------------------------------------
@@ -437,10 +442,10 @@ def match(
     Rows without id, recording or finite start don't count. A missing, infinite or earlier
     end and missing bands are unknown and judged by the rest; exchanged bands are put right.
     Rows delivered twice match as often. Clocks of labels are found if they're off by at most
-    ``clock_reach`` seconds, stretch by stretch. Empty tables give no rows.
+    ``clock_reach`` seconds, by name as written and stretch by stretch. Empty tables give no rows.
     """
     lab = cut(_with_tokens(_keyed(labels, "label_id", "filename"), _NAME, _LOW - _NAME))
-    det = _keyed(detections, "det_id", "filename", "file_path").withColumn("slab", _slab(F.col("t")))
+    det = _keyed(detections, "det_id", "filename", "file_path").drop("file").withColumn("slab", _slab(F.col("t")))
     # detections in a slab that a label can reach; the others are left out before anything else
     span = F.sequence(_slab(F.col("t") - clock_reach), F.least(_slab(F.coalesce(F.col("e"), F.col("t")) + clock_reach), _slab(F.col("t")) + 3))
     near = lab.select("key", F.explode(span).alias("slab")).distinct()
@@ -453,11 +458,11 @@ def match(
 
     # clocks: pairs alike in what they are, whatever the time within reach
     lab = lab.withColumn("decoy", F.lit(False)).withColumn("block", _slab(F.col("t")))
-    wide = _probe(det, _at_slabs(lab, places, clock_reach), _prober(vectors, 0, 4, 8, step, 0.7, seed))
-    similar = (F.abs(F.col("dt")) <= clock_reach) & (F.abs(F.col("l_len") - F.col("d_len")) < 0.3) & (F.abs(F.col("dl")) < 700) & (F.abs(F.col("dh")) < 1200)
-    votes = wide.where(similar).join(lab.select(F.col("id").alias("l_id"), F.struct("key", F.col("block").alias("slab")).alias("place")), "l_id").select("l_id", "place", "dt")
+    wide = _probe(det, _at_slabs(lab, places, clock_reach), _prober(vectors, 0, 8, 6, step, 0.5, seed, clock_reach))
+    similar = (F.abs(F.col("dl")) < 700) & (F.abs(F.col("dh")) < 1200)
+    votes = wide.where(similar).join(lab.select(F.col("id").alias("l_id"), F.struct("file", F.col("block").alias("slab")).alias("place")), "l_id").select("l_id", "place", "dt")
     clocks = _clocks(votes, clock_reach)
-    lab = lab.join(clocks, (lab["key"] == clocks["key"]) & (lab["block"] == clocks["slab"]), "left").select(*[lab[c] for c in lab.columns], F.coalesce("clock", F.lit(0.0)).alias("_clock"))
+    lab = lab.join(clocks, (lab["file"] == clocks["file"]) & (lab["block"] == clocks["slab"]), "left").select(*[lab[c] for c in lab.columns], F.coalesce("clock", F.lit(0.0)).alias("_clock"))
     lab = lab.withColumn("t", F.col("t") + F.col("_clock")).withColumn("e", F.col("e") + F.col("_clock")).drop("_clock")
 
     # every label once more beside its place, past its own length: what decoys meet is chance, in the same bout of calls
