@@ -58,7 +58,8 @@ def runs(
             F.when(e >= t, e).otherwise(t).alias("e"),
         ).alias("_r"),
     ).where(F.col("_q").isNotNull() & F.col("_r.t").isNotNull())
-    events = events.withColumn("_shard", F.floor(F.col("_r.t") / F.lit(float(shard_seconds))))
+    # never NULL, so that no filter on it makes two readers of one shuffle differ
+    events = events.withColumn("_shard", F.coalesce(F.floor(F.col("_r.t") / F.lit(float(shard_seconds))), F.lit(0).cast("long")))
     shard = ["_q", "_shard"]
     order = Window.partitionBy(*shard).orderBy("_r")
     placed = events.withColumn("_pos", F.row_number().over(order)).withColumn("_prev", F.lag("_r").over(order))
