@@ -1,9 +1,10 @@
 """One consistent form of visually identical text.
 
-A transducer is compiled once from a mapping that is checked for conflicts. It walks a
-text in one pass, takes the longest known unit at each place (an emoji sequence, a base
-with all its marks and invisible characters, a line end, a single character) and writes
-the unit's consistent form. Width, kind of blank, order and composition of accents,
+A transducer is compiled once: the rules are written out for every code point, and for
+letters with their marks, and checked for conflicts. It walks a text in one pass by
+grapheme clusters (an emoji sequence, a base with all its marks and invisible characters, a
+line end, a single character), takes the longest known unit at each place and writes its
+consistent form. Width, kind of blank, order and composition of accents,
 invisible characters, ligatures and look-alike letters are levelled; case, accents,
 raised digits, number of blanks, punctuation and emoji stay.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tonewright.session import cut
 
-#: Letters that look like the Latin letter named first.
+#: Fixed values, of the public Unicode confusables: letters that look like the Latin letter named first.
 LOOK_ALIKES = {
     "a": "аɑα", "b": "Ьƅ", "c": "сϲᴄ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "іιɩ", "j": "јϳյ",
     "l": "ӏ", "n": "ո", "o": "оοօᴏσ", "p": "рρ", "q": "ԛզ", "r": "г", "s": "ѕꜱ", "u": "սυᴜ", "v": "νѵᴠ",
@@ -62,11 +63,11 @@ def _pictograph(ch: str) -> bool:
 
 
 class Conflict(ValueError):
-    """Two rules give one character two forms."""
+    """Two rules give one unit two forms, or a form has a form of its own."""
 
 
 def compile_mapping(look_alikes: dict[str, str]) -> dict[int, str]:
-    """The mapping of single characters, closed under itself; raises :class:`Conflict`."""
+    """The mapping of look-alike characters, closed under itself; raises :class:`Conflict`."""
     table: dict[int, str] = {}
     for target, sources in look_alikes.items():
         for s in sources:
@@ -79,19 +80,66 @@ def compile_mapping(look_alikes: dict[str, str]) -> dict[int, str]:
     return table
 
 
+def compile_units(look_alikes: dict[str, str]) -> dict[str, str]:
+    """Every unit that has another form, with it: single characters and, longer, line ends and letters with their marks.
+
+    All rules are written out for every scanned code point before any text is read. A rule
+    that gives a unit a second form is a :class:`Conflict`, and so is a form that isn't its own.
+    """
+    alike = compile_mapping(look_alikes)
+    units: dict[str, str] = {}
+
+    def put(unit: str, form: str) -> None:
+        if units.setdefault(unit, form) != form:
+            raise Conflict(f"{unit!a} would become {units[unit]!a} and {form!a}")
+
+    level = lambda text: unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(alike))
+    for end in ("\r\n", "\r", "\x0b", "\x0c", "\u2028", "\u2029", "\x85"):
+        put(end, "\n")
+    put("\t", " ")
+    for cp in alike:
+        put(chr(cp), level(chr(cp)))
+    for cp in _SCANNED:
+        ch = chr(cp)
+        kind, _, points = unicodedata.decomposition(ch).partition(" ")
+        if _invisible(ch):
+            put(ch, "")
+        elif unicodedata.category(ch) == "Zs":
+            if ch != " ":
+                put(ch, " ")
+        elif kind in SAME_LOOK or kind == "<compat>" and 0xFB00 <= cp <= 0xFB06 or 0x2160 <= cp <= 0x217F:
+            put(ch, level(unicodedata.normalize("NFKC", ch)))
+        elif (form := level(ch)) != ch:
+            put(ch, form)
+        # a letter apart from its marks has the form of the letter with them
+        if kind and not kind.startswith("<") and len(apart := unicodedata.normalize("NFD", ch)) > 1:
+            put(apart, level(apart))
+    for unit, form in units.items():
+        if form != unit and any(units.get(c, c) != c for c in form):
+            raise Conflict(f"the form {form!a} of {unit!a} has a form of its own")
+    return units
+
+
 class Transducer:
     """Compiled form of the mapping. Equal look gives equal output; applying it twice changes nothing."""
 
     def __init__(self, look_alikes: dict[str, str] | None = None):
-        self._map = compile_mapping(LOOK_ALIKES if look_alikes is None else look_alikes)
+        self._units = compile_units(LOOK_ALIKES if look_alikes is None else look_alikes)
+        # the units as a tree of characters; a unit ends where "" is
+        self._tree: dict = {}
+        for unit, form in self._units.items():
+            node = self._tree
+            for ch in unit:
+                node = node.setdefault(ch, {})
+            node[""] = form
         category = unicodedata.category
         mark = _ranges([cp for cp in _SCANNED if category(chr(cp))[0] == "M"])
         hidden = _ranges([cp for cp in _SCANNED if _invisible(chr(cp))])
         pic = _ranges([cp for cp in _SCANNED if _pictograph(chr(cp))])
         tone = "\\U0001f3fb-\\U0001f3ff"
-        # longest first: emoji joined to a next emoji; base with marks and invisible characters; line ends; the rest
-        self._unit = re.compile(
-            f"[{pic}][{tone}]?️?{ZWJ}(?=[{pic}])|[^{mark}{hidden}]?[{mark}{hidden}]+|\r\n?|[^\x00-\x7f]|[\t\x0b\x0c]"
+        # grapheme clusters, longest first: emoji joined to a next emoji; base with marks and invisible characters; line ends; the rest
+        self._cluster = re.compile(
+            f"[{pic}][{tone}]?\ufe0f?{ZWJ}(?=[{pic}])|[^{mark}{hidden}]?[{mark}{hidden}]+|\r\n?|[^\x00-\x7f]|[\t\x0b\x0c]"
         )
         # what differs from plain ASCII, with the character that its first mark may belong to
         self._run = re.compile("[\x00-\x7f]?[^\x00-\x7f]+")
@@ -99,32 +147,30 @@ class Transducer:
         self._memo: dict[str, str] = {}
         self._runs: dict[str, str] = {}
 
-    def _rule(self, unit: str) -> str:
-        if unit in ("\r\n", "\r", "\x0b", "\x0c", " ", " ", "\x85"):
-            return "\n"
-        if unit == "\t":
-            return " "
-        if unit.endswith(ZWJ) and _pictograph(unit[0]) and unit != unit[0] + ZWJ:
-            unit = unit.replace("️", "")
-        parts = []
-        for ch in unit:
-            if _invisible(ch):
-                continue
-            kind, _, points = unicodedata.decomposition(ch).partition(" ")
-            if unicodedata.category(ch) == "Zs":
-                parts.append(" ")
-            elif kind in SAME_LOOK or kind == "<compat>" and 0xFB00 <= ord(ch) <= 0xFB06 or 0x2160 <= ord(ch) <= 0x217F:
-                parts.append(unicodedata.normalize("NFKC", ch))
-            else:
-                parts.append(ch)
-        plain = unicodedata.normalize("NFD", "".join(parts)).translate(self._map)
-        return unicodedata.normalize("NFC", plain)
+    def _walk(self, cluster: str) -> str:
+        """The cluster's form: the longest known unit at each place, then composed."""
+        out, i = [], 0
+        while i < len(cluster):
+            node, j, form, end = self._tree, i, cluster[i], i + 1
+            while j < len(cluster) and (node := node.get(cluster[j])) is not None:
+                j += 1
+                if "" in node:
+                    form, end = node[""], j
+            out.append(form)
+            i = end
+        form = "".join(out)
+        # marks in another order, or parted by what can't be seen, meet only now
+        return form if len(cluster) == 1 else unicodedata.normalize("NFC", "".join(self._units.get(c, c) for c in unicodedata.normalize("NFC", form)))
 
     def _form(self, match: re.Match) -> str:
         unit = match.group()
         form = self._memo.get(unit)
         if form is None:
-            form = unit[:-1].replace("️", "") + ZWJ if unit[-1] == ZWJ and match.end() < len(match.string) and _pictograph(unit[0]) and _pictograph(match.string[match.end()]) else self._rule(unit)
+            if unit[-1] == ZWJ and _pictograph(unit[0]) and unit != unit[0] + ZWJ:
+                unit = unit.replace("\ufe0f", "")
+            joins = unit[-1] == ZWJ and match.end() < len(match.string) and _pictograph(unit[0]) and _pictograph(match.string[match.end()])
+            form = unit[:-1].replace("\ufe0f", "") + ZWJ if joins else self._walk(unit)
+            unit = match.group()
             if len(unit) < 16 and not _pictograph(unit[0]):
                 if len(self._memo) > 100_000:
                     self._memo.clear()
@@ -136,7 +182,7 @@ class Transducer:
         run = match.group()
         form = self._runs.get(run)
         if form is None:
-            form = self._unit.sub(self._form, run)
+            form = self._cluster.sub(self._form, run)
             if len(run) < 32:
                 if len(self._runs) > 100_000:
                     self._runs.clear()
@@ -146,7 +192,7 @@ class Transducer:
     def __call__(self, text: str) -> str:
         if "\r" in text or "\t" in text or "\x0b" in text or "\x0c" in text:
             text = self._line.sub(self._form, text)
-        # ASCII is copied as it is; every other unit lies in one run
+        # ASCII is copied as it is; every other cluster lies in one run
         return text if text.isascii() else self._run.sub(self._other, text)
 
 
@@ -197,7 +243,7 @@ def look_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     the class and its different strings, ``links`` the documents that look the same but are
     another string. Counts are joined to the digests, so a class may be of any size.
     """
-    rows = looks(df, id_col, text_col)
+    rows = cut(looks(df, id_col, text_col))  # texts are read once; digests are small
     exact = rows.groupBy("look", "exact").agg(F.count(F.lit(1)).alias("same"), F.min("id").alias("first"))
     classes = exact.groupBy("look").agg(F.min("first").alias("class_id"), F.sum("same").alias("documents"), F.count(F.lit(1)).alias("spellings"))
     return (
@@ -214,14 +260,14 @@ def look_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
     large class are dealt into blocks of about ``block`` rows, so its pairs are made by many
     tasks. Documents with a NULL text or id aren't paired; documents with one id neither.
     """
-    rows = looks(df, id_col, text_col)
+    rows = cut(looks(df, id_col, text_col))  # texts are read once; digests are small
     mixed = (
         rows.groupBy("look")
         .agg(F.count(F.lit(1)).alias("_n"), F.min("exact").alias("_lo"), F.max("exact").alias("_hi"))
         .where(F.col("_lo") != F.col("_hi"))
         .select("look", F.ceil(F.col("_n") / F.lit(block)).alias("_blocks"))
     )
-    members = cut(rows.join(mixed, "look"))
+    members = rows.join(mixed, "look")
     left = members.select("look", F.pmod(F.xxhash64("id"), "_blocks").alias("_b"), F.col("id").alias("id_a"), F.col("exact").alias("_x"))
     right = members.select("look", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_b"), F.col("id").alias("id_b"), F.col("exact").alias("_y"))
     return left.join(right, ["look", "_b"]).where((F.col("id_a") < F.col("id_b")) & (F.col("_x") != F.col("_y"))).select("id_a", "id_b")
