@@ -19,11 +19,16 @@ _BINS = 1024
 _MAX_ROUNDS = 8  # 44 bits at 10 a round need 5; more is an error
 
 
-def _keyed(df: DataFrame, keys: dict[str, Column], value: Column | None, valid: Column | None) -> DataFrame:
+def _keyed(df: DataFrame, keys: dict[str, Column], value: Column | None, valid: Column | None, usable_only: bool = False) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(name).alias("key_field"), c.cast("string").alias("key_value")) for name, c in keys.items()])
     usable = F.lit(None).cast("double") if value is None else value if valid is None else F.when(valid, value)
     # the code is worked out once per row, before a row is multiplied by its keys
-    rows = with_ordered_long(df.select(pairs.alias("_pairs"), usable.alias("_u")), F.col("_u"), "_v")
+    rows = df.select(pairs.alias("_pairs"), usable.alias("_u"))
+    if usable_only:
+        rows = rows.where(F.col("_u").isNotNull() & ~F.isnan("_u") & (F.abs("_u") != F.lit(float("inf"))))
+    rows = with_ordered_long(rows, F.col("_u"), "_v")
+    if usable_only:  # never NULL, so that no filter on the code is pushed down and works it out once more
+        rows = rows.withColumn("_v", F.coalesce("_v", F.lit(0).cast("long")))
     return (
         rows.select(F.explode("_pairs").alias("_k"), "_v")
         .select("_k.key_field", "_k.key_value", "_v")
@@ -39,7 +44,10 @@ def key_histogram(df: DataFrame, keys: dict[str, Column], value: Column | None =
     as rows of the key only. Rows whose key is NULL are left out. Histograms of parts of the
     input add up: sum ``n``, least ``lo``, greatest ``hi``.
     """
-    rows = _keyed(df, keys, value, valid)
+    return _histogram(_keyed(df, keys, value, valid))
+
+
+def _histogram(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key_field", "key_value", F.shiftright("_v", _TOP_SHIFT).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
     )
@@ -94,7 +102,8 @@ def key_quantiles(
     if not percents or any(not 0 <= p <= 100 for p in percents):
         raise ValueError("percents must be between 0 and 100")
     key = ["key_field", "key_value"]
-    bins = key_histogram(df, keys, value, valid).where(F.col("bin").isNotNull())
+    rows = _keyed(df, keys, value, valid, usable_only=True)
+    bins = _histogram(rows)
     total = Window.partitionBy(*key)
     up = total.orderBy("bin")
     # one pass over a key's bins: every bin gets the percents whose ranks fall into it
@@ -111,7 +120,7 @@ def key_quantiles(
     )
     state = cut(state.withColumn("_code", _known(F.col("_rank"))))
     found = [state.where(F.col("_code").isNotNull())]
-    rows = _keyed(df, keys, value, valid).where(F.col("_v").isNotNull()).withColumn("bin", F.shiftright("_v", _TOP_SHIFT))
+    rows = rows.withColumn("bin", F.shiftright("_v", _TOP_SHIFT))
     for round_ in range(_MAX_ROUNDS + 1):
         left = state.where(F.col("_code").isNull())
         if left.isEmpty():
