@@ -631,7 +631,7 @@ def json_documents(spark, d):
   printf('%.3f', time_start)::DOUBLE AS start_time, printf('%.3f', time_end)::DOUBLE AS end_time, species AS scientific_name, 'call' AS sound_type, '2031-01-01' AS date_identified,
   'Detected by tonewright; eBird code: ' || coalesce(species, '') || CASE WHEN v IS NULL THEN '' ELSE '; confidence: ' || printf('%.3f', v) END AS annotation_remarks
 FROM (SELECT *, coalesce(avg_confidence, max_confidence) AS v, row_number() OVER (ORDER BY filename NULLS FIRST, time_start NULLS FIRST, time_end NULLS FIRST,
-  species_id NULLS FIRST, freq_low_hz NULLS FIRST, song_id) AS n FROM songs)""".replace("\\d", "\d"))
+  species_id NULLS FIRST, freq_low_hz NULLS FIRST, song_id) AS n FROM songs)""")
 def annotation_rows(spark, d):
     return writers.annotation_rows(table(spark, d, "songs"), F.col("species"), on=date(2031, 1, 1)).drop("number")
 
