@@ -13,15 +13,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonewright.functions.ordered import ordered_double, ordered_long
+from tonewright.functions.ordered import ordered_double, with_ordered_long
 from tonewright.session import cut
 
 DIGIT = 16
 
 
 def _coded(df: DataFrame, group: Column, part: Column, value: Column, valid: Column | None) -> DataFrame:
-    code = ordered_long(value) if valid is None else F.when(valid, ordered_long(value))
-    return df.select(group.alias("group"), part.alias("part"), code.alias("_v")).where(F.col("group").isNotNull() & F.col("_v").isNotNull())
+    usable = value.cast("double") if valid is None else F.when(valid, value.cast("double"))
+    rows = df.select(group.alias("group"), part.alias("part"), usable.alias("_u"))
+    rows = rows.where(F.col("group").isNotNull() & F.col("_u").isNotNull() & ~F.isnan("_u") & (F.abs("_u") != F.lit(float("inf"))))
+    # the code is never NULL, so that no filter on it is pushed down and works it out once more
+    return with_ordered_long(rows, F.col("_u"), "_v").select("group", "part", F.coalesce("_v", F.lit(0).cast("long")).alias("_v"))
 
 
 def histogram(df: DataFrame, group: Column, part: Column, value: Column, valid: Column | None = None, mantissa_bits: int = 8) -> DataFrame:
